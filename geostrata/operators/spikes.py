@@ -92,10 +92,9 @@ def judge_block(keys: np.ndarray, values: np.ndarray, own: np.ndarray, low: floa
     kept = np.nonzero(possible)[0]
     held = values[kept]
     height[kept] = excursions(held)
-    # a run broken only by an impossible reading is still told by the full sequence above
     sound = ~stuck[kept]
     change = np.abs(np.diff(held))
-    pair = sound[1:] & sound[:-1]
+    pair = sound[1:] & sound[:-1] & (np.diff(kept) == 1)  # what an impossible reading hides is no change of one step
     change, over = change[pair], np.maximum(height[kept][1:], height[kept][:-1])[pair]
     normal = 0.0
     if len(change):
