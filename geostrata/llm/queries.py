@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import clusters, digests, multiindex
+from . import bpe, clusters, digests, multiindex, packing, reading
 
 LINK2 = 1.12
 LEAST_CLUSTER = 12
 TOLERANCE = 0.03
 PCTS = [5, 25, 50, 75, 95]
 NEIGHBOURS = 8
+TOKENIZER = "byte_bpe_50k"
+DEMANDING_WORDS, DEMANDING_GRADE = 40, 16
 _FIELDS = ["z", "idx"]
 
 
@@ -71,8 +73,39 @@ def p5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return multiindex.nearest(points.where("point_id % 100 = 0"), "point_id", points, "point_id", ["x", "y", "z"], NEIGHBOURS, skip_self=True)
 
 
+def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.encode(table(spark, folder, "documents"), "doc_id", "text", TOKENIZER)
+
+
+def p6_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether decoding each post's ids gives its text again."""
+    posts = table(spark, folder, "documents").select("doc_id", "text")
+    again = bpe.decode(bpe.encode(posts, "doc_id", "text", TOKENIZER), "doc_id", "ids", TOKENIZER)
+    return posts.join(again.withColumnRenamed("text", "again"), "doc_id").select("doc_id", (F.coalesce("text", F.lit("")) == F.col("again")).alias("same"))
+
+
+def p7_bins(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "pack_spec"))
+
+
+def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """Containers, tokens and the share of room used, of each spec."""
+    specs = table(spark, folder, "pack_spec").select("spec_id", "capacity")
+    filled = p7_bins(spark, folder).groupBy("spec_id", "container").agg(F.sum("tokens").alias("tokens")).groupBy("spec_id").agg(F.count(F.lit(1)).alias("containers"), F.sum("tokens").alias("tokens"))
+    return filled.join(specs, "spec_id").select("spec_id", "containers", "tokens", (F.col("tokens") / (F.col("containers") * F.col("capacity"))).alias("used"))
+
+
+def p8_levels(spark: SparkSession, folder: str) -> DataFrame:
+    """The school grade of every post's own prose."""
+    return reading.reading_levels(table(spark, folder, "documents"), table(spark, folder, "reading_label"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p8_levels(spark, folder).where((F.col("words") >= DEMANDING_WORDS) & (F.col("grade") >= DEMANDING_GRADE - 0.5)).select("doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_percentiles, p5_found, p5_neighbours)}
+    return {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_percentiles, p5_found, p5_neighbours, p6_ids, p6_roundtrip, p7_bins, p7_fill, p8_found, p8_levels)}
 
 
 def oracle_sql() -> dict[str, str]:
