@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,3 +34,11 @@ def p3_readings(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return p3_readings(spark, folder).select("field", "reading_id")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in (p3_found, p3_readings, p4_found)}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
