@@ -1,4 +1,4 @@
-"""All queries of the core, by name, and their SQL."""
+"""All queries of the core, by name, and their SQL. Importing the modules of queries fills the registry."""
 
 from __future__ import annotations
 
@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import survey
+from . import cells, registry, surfaces, survey
+
+
+__all__ = ["cells", "oracle_sql", "queries", "surfaces"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return survey.queries()
+    return survey.queries() | registry.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return survey.oracle_sql()
+    return survey.oracle_sql() | registry.SQL
