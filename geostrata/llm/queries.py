@@ -70,7 +70,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 def p5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """The nearest other points of each point whose id is divisible by 100, among all points."""
     points = table(spark, folder, "pc_memgrid")
-    return multiindex.nearest(points.where("point_id % 100 = 0"), "point_id", points, "point_id", ["x", "y", "z"], NEIGHBOURS, skip_self=True)
+    return multiindex.nearest(points.where("point_id % 100 = 0"), "point_id", points, "point_id", ["x", "y", "z"], NEIGHBOURS, skip_self=True).select("query_id", "id", F.col("rank").cast("int").alias("rank"))
 
 
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -108,5 +108,24 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_percentiles, p5_found, p5_neighbours, p6_ids, p6_roundtrip, p7_bins, p7_fill, p8_found, p8_levels)}
 
 
+_PLACES = """pts as (select distinct point_id, x, y, z from pc_memgrid where x is not null and y is not null and z is not null and not isnan(x) and not isnan(y) and not isnan(z))"""
+#: Cells as wide as the link's limit, so that linked points are in neighbouring ones.
+_LINKS = f"""with recursive {_PLACES}, c as (select *, floor(x / 1.06) as a, floor(y / 1.06) as b from pts),
+links as (select p.point_id as u, q.point_id as v from c p, unnest([-1, 0, 1]) i(i), unnest([-1, 0, 1]) j(j), c q where q.a = p.a + i and q.b = p.b + j and p.point_id <> q.point_id
+  and power(p.x - q.x, 2) + power(p.y - q.y, 2) + power(p.z - q.z, 2) <= {LINK2}),
+reach(u, v) as (select u, u from links union select r.u, l.v from reach r join links l on r.v = l.u),
+named as (select u as point_id, min(v) as cluster_id, count(*) as n from reach group by u)
+select cluster_id, point_id from named where n >= {LEAST_CLUSTER}"""
+_SHARES = """with once as (select distinct point_id, file_id, z, idx from pc_memgrid), v as (select file_id, 'z' as field, z as v from once where z is not null and not isnan(z) union all select file_id, 'idx', idx::double from once where idx is not null),
+s as (select t.file_id, t.field, t.pct, count(*) filter (where v < declared) / count(*)::double as l, count(*) filter (where v <= declared) / count(*)::double as h
+  from pc_file_stat t join v on t.file_id = v.file_id and t.field = v.field where declared is not null and not isnan(declared) group by 1, 2, 3, declared)"""
+_NEAR = "power(p.x - q.x, 2) + power(p.y - q.y, 2) + power(p.z - q.z, 2)"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p1_found": _LINKS,
+        "p2_found": f"{_SHARES} select file_id, field, pct from s where l > pct / 100.0 + {TOLERANCE} or h < pct / 100.0 - {TOLERANCE}",
+        "p5_found": f"with {_PLACES}, d as (select probe_id, point_id, row_number() over (partition by probe_id order by {_NEAR}, point_id) as k from pc_probe p, pts q where p.x is not null and p.y is not null and p.z is not null) select probe_id, point_id from d where k <= {NEIGHBOURS}",
+        "p5_neighbours": f"with {_PLACES}, d as (select p.point_id as query_id, q.point_id as id, row_number() over (partition by p.point_id order by {_NEAR}, q.point_id) as k from pts p, pts q where p.point_id % 100 = 0 and p.point_id <> q.point_id) select query_id, id, cast(k as integer) as rank from d where k <= {NEIGHBOURS}",
+    }
