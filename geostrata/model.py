@@ -170,4 +170,4 @@ def pack_cell(col: Column, row: Column) -> Column:
 
 
 def unpack_cell(cell: Column) -> tuple[Column, Column]:
-    return F.shiftright(cell, 32).cast("int"), cell.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+    return F.shiftright(cell, 32).cast("int"), F.shiftright(F.shiftleft(cell, 32), 32).cast("int")

@@ -75,6 +75,16 @@ def excursions(values: np.ndarray, longest: int = SPIKE_RUN) -> np.ndarray:
     return best
 
 
+def edge_excursions(values: np.ndarray, longest: int = SPIKE_RUN) -> np.ndarray:
+    """As excursions, of runs at either end of a source, where there is a reading on one side alone. Such a run is no spike, but its changes are not taken for normal ones."""
+    n = len(values)
+    best = np.zeros(n)
+    for held, out in ((values, best), (values[::-1], best[::-1])):
+        for length in range(1, min(longest, n - 1) + 1):
+            out[:length] = np.maximum(out[:length], np.abs(held[:length] - held[length]).min())
+    return best
+
+
 def raise_normal(normal: float, height: np.ndarray, change: np.ndarray, limit: float = LIMIT) -> float:
     """The least fixed point at or above normal: the largest change whose height is within the limit that it sets."""
     while True:
@@ -95,7 +105,9 @@ def judge_block(keys: np.ndarray, values: np.ndarray, own: np.ndarray, low: floa
     sound = ~stuck[kept]
     change = np.abs(np.diff(held))
     pair = sound[1:] & sound[:-1] & (np.diff(kept) == 1)  # what an impossible reading hides is no change of one step
-    change, over = change[pair], np.maximum(height[kept][1:], height[kept][:-1])[pair]
+    pair &= own[kept][1:] | own[kept][:-1]  # a halo may begin inside a spike
+    tall = np.maximum(height[kept], edge_excursions(held))
+    change, over = change[pair], np.maximum(tall[1:], tall[:-1])[pair]
     normal = 0.0
     if len(change):
         scale = control_chart(held[sound])
@@ -134,7 +146,7 @@ def judge(readings: DataFrame, key: str, source: str, order: str, limits: dict[s
     columns take no part.
     """
     held = readings.select(F.col(key).cast("long").alias("_key"), F.col(source).cast("long").alias("_source"), F.col(order).cast("double").alias("_order"), *[F.col(f).cast("double").alias(f"_v{i}") for i, f in enumerate(limits)])
-    held = held.where(F.col("_key").isNotNull() & F.col("_source").isNotNull() & F.col("_order").isNotNull())
+    held = held.where(F.col("_key").isNotNull() & F.col("_source").isNotNull() & F.col("_order").isNotNull() & ~F.isnan("_order"))
     names = list(limits)
     bound = [limits[n] for n in names]
     cuts = _blocks(held, "_source", "_order", "_key", block_rows)

@@ -177,10 +177,10 @@ def box_search(spark: SparkSession, folder: str) -> DataFrame:
     return joins.box_search(points(spark, folder), boxes, 100.0).groupBy("box_id").agg(F.count(F.lit(1)).alias("n"), F.max("z").alias("top"))
 
 
-@query(f"""with {POINTS} select point_id from pts where x between 400050 and 400200 and y between 5999400 and 5999600 and x + y < 400050 + 5999600 and not (x > 400080 and x < 400100 and y > 5999420 and y < 5999440)""")
+@query(f"""with {POINTS} select point_id from pts where x > 400050.0005 and x <= 400200 and y > 5999400.0002 and x + y < 400250.0005 + 5999400.0002 and not (x > 400080.0005 and x < 400100.0005 and y > 5999420.0002 and y < 5999440.0002)""")
 def polygon_search(spark: SparkSession, folder: str) -> DataFrame:
     """Points in a triangle with a square hole."""
-    return joins.polygon_search(points(spark, folder), "point_id", "POLYGON ((400050 5999400, 400250 5999400, 400050 5999600, 400050 5999400), (400080 5999420, 400100 5999420, 400100 5999440, 400080 5999440, 400080 5999420))").join(points(spark, folder).where("x <= 400200").select("point_id"), "point_id")
+    return joins.polygon_search(points(spark, folder), "point_id", "POLYGON ((400050.0005 5999400.0002, 400250.0005 5999400.0002, 400050.0005 5999600.0002, 400050.0005 5999400.0002), (400080.0005 5999420.0002, 400100.0005 5999420.0002, 400100.0005 5999440.0002, 400080.0005 5999440.0002, 400080.0005 5999420.0002))").join(points(spark, folder).where("x <= 400200").select("point_id"), "point_id")
 
 
 @query("""with t as (select distinct cast(floor(min_x / 500) as bigint) as tile_id from pc_file where min_x is not null and not isnan(min_x)), b as (select tile_id, tile_id * 500.0 as minx, 5999000.0 as miny, (tile_id + 1) * 500.0 as maxx, 5999500.0 as maxy from t)

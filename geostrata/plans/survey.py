@@ -40,5 +40,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p3_found, p3_readings, p4_found)}
 
 
+_NEAR_SQL = f"""with pts as (select distinct point_id, x, y from pc_memgrid where x is not null and y is not null and not isnan(x) and not isnan(y)),
+c as (select *, floor(x / 0.35) as a, floor(y / 0.35) as b from pts),
+rings as (select zone_id, unnest(regexp_extract_all(wkt, '\\(\\s*([^()]+)\\)', 1)) as ring, unnest(range(len(regexp_extract_all(wkt, '\\(\\s*([^()]+)\\)', 1)))) as k from survey_zone where wkt is not null),
+corners as (select zone_id, k, list_transform(string_split(ring, ','), lambda p: list_transform(string_split_regex(trim(p), '\\s+')[1:2], lambda v: cast(v as double))) as c from rings),
+edges as (select zone_id, unnest(c[1:-2]) as p, unnest(c[2:]) as q from corners),
+box as (select zone_id, min(least(p[1], q[1])) as x0, max(greatest(p[1], q[1])) as x1, min(least(p[2], q[2])) as y0, max(greatest(p[2], q[2])) as y1 from edges group by 1),
+crossed as (select e.zone_id, t.point_id from pts t join box on x between x0 and x1 and y between y0 and y1 join edges e on e.zone_id = box.zone_id
+  where (p[2] > y) <> (q[2] > y) and x < (q[1] - p[1]) * (y - p[2]) / (q[2] - p[2]) + p[1])
+select 'point' as kind, p.point_id as id_a, q.point_id as id_b from c p, unnest([-1, 0, 1]) i(i), unnest([-1, 0, 1]) j(j), c q where q.a = p.a + i and q.b = p.b + j and p.point_id < q.point_id and power(p.x - q.x, 2) + power(p.y - q.y, 2) <= {NEAR_RADIUS2}
+union all select 'zone' as kind, zone_id, point_id from crossed group by zone_id, point_id having count(*) % 2 = 1"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p4_found": _NEAR_SQL}

@@ -100,7 +100,7 @@ def read_point_text(spark: SparkSession, path: str, dims: int) -> DataFrame:
     Of a dump the header and the tree are left out and its ids are kept. Files are read line by line and not split, for
     the order of lines is their id.
     """
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

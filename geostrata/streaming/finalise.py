@@ -49,7 +49,7 @@ def finalise_cells(stream: DataFrame, time_column: str, late: str, cell: str, va
         state.update((n, total, last))
         state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + idle_ms)
 
-    held = stream.withWatermark(time_column, late).select(time_column, F.col(cell).alias("cell"), F.col(value).cast("double").alias("value"), F.unix_millis(time_column).alias("at"))
+    held = stream.withWatermark(time_column, late).select(time_column, F.col(cell).cast("string").alias("cell"), F.col(value).cast("double").alias("value"), F.unix_millis(time_column).alias("at"))
     return held.groupBy("cell").applyInPandasWithState(update, "cell string, n long, mean double", "n long, total double, last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
