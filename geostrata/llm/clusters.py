@@ -25,6 +25,8 @@ from ..session import cut
 VECTORS = 3
 STEPS = 12
 LLOYD = 2
+#: A link counts in a round if its affinity is at least this share of the greatest of its end.
+STRONG = 0.25
 #: Levels of the splits that are joined at once.
 LEVELS = 3
 
@@ -51,13 +53,18 @@ def _segment(values: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
 
 
 def power_step(n: int, i: np.ndarray, j: np.ndarray, w: np.ndarray, size: np.ndarray, ids: np.ndarray, steps: int = STEPS, lloyd: int = LLOYD) -> np.ndarray:
-    """One round: a cluster number of each of n points. Every point with a link ends up together with another one."""
+    """One round: a cluster number of each of n points."""
     degree = np.bincount(i, w, n)
     stay = degree / 2 + 1e-300  # affinity to itself, against vectors that swing
     vectors = start_vectors(ids)
     for _ in range(steps):
         vectors = (_segment(vectors[j] * w[:, None], i, n) + vectors * stay[:, None]) / (degree + stay)[:, None]
-    # seeds: each point follows its best linked neighbour, best by affinity and then by smaller number, up to a peak
+    # seeds: each point follows the best of its strong neighbours, best by affinity and then by smaller number, up to a peak.
+    # The strongest link of all is strong for both its ends, so each round joins something wherever there is a link.
+    most = np.zeros(n)
+    np.maximum.at(most, i, w)
+    strong = w >= STRONG * most[i]
+    i, j = i[strong], j[strong]
     rank = np.empty(n, np.int64)
     rank[np.lexsort((np.arange(n), -degree))] = np.arange(n)
     best = np.arange(n)
@@ -136,18 +143,27 @@ def cluster(points: DataFrame, key: str, columns: list[str], radius2: float, lea
         ids, first = np.unique(held.column("id").to_numpy(), return_index=True)
         own = held.column("own").to_numpy()[first]
         at = np.column_stack([held.column(n).to_numpy()[first] for n in names])
-        a, b = kdsplit.pairs_within(at, radius2)
-        step = at[a] - at[b]
+        # points at one place are one node of the graph, with their number as its weight
+        place, first, at_place, copies = np.unique(at, axis=0, return_index=True, return_inverse=True, return_counts=True)
+        at_place = at_place.reshape(-1)
+        i, j = kdsplit.pairs_within(place, radius2)
+        step = place[i] - place[j]
         w = np.exp(-2 * (step * step).sum(1) / radius2)
+        m = len(place)
+        near = np.bincount(i, w * copies[j], m) + np.bincount(j, w * copies[i], m) + copies - 1
+        # first is the smallest id of its place, for ids are sorted; its copies follow it
+        follow = np.nonzero(first[at_place] != np.arange(len(ids)))[0]
+        a, b = np.concatenate([first[i], first[at_place[follow]]]), np.concatenate([first[j], follow])
+        w = np.concatenate([w * copies[i] * copies[j], np.ones(len(follow))])
         n = len(ids)
-        affinity = np.bincount(a, w, n) + np.bincount(b, w, n)
+        affinity = near[at_place]
         inner = own[a] & own[b]
         label = spectral_clusters(n, a[inner], b[inner], w[inner], ids)
         name = _name(label, ids)
         size = np.bincount(label)[label]
         # links over the edge, seen from this leaf's side
         out, into = np.where(own[a], a, b), np.where(own[a], b, a)
-        over = own[a] != own[b]
+        over = own[a] != own[b]  # copies of a place are all in one leaf, so each side sees the same first ids
         out, into, w = out[over], into[over], w[over]
         crossing = np.zeros(int(label.max()) + 1, bool)
         crossing[label[out]] = True

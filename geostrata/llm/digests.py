@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 COMPRESSION = 200.0
+#: What infinite values count as, so that their means are numbers.
+ENDLESS = 1e150
 #: Salts that the rows of a group are spread over where they meet its thresholds.
 SALTS = 32
 _DIGEST = "count long, least double, most double, means array<double>, weights array<double>"
@@ -105,7 +107,7 @@ def once(rows: DataFrame, key: str, *columns: str | Column) -> DataFrame:
 def partial_digests(rows: DataFrame, group: str, fields: list[str], part: str | None = None, compression: float = COMPRESSION) -> DataFrame:
     """(group_id, part, field, digest): a digest of each group, field and part (a day, say) in each partition of the rows.
 
-    Null and NaN values don't count, nor do rows of a null group. A group of whatever size is read where it lies, so
+    Null and NaN values don't count, nor do rows of a null group; beyond ENDLESS a value counts as ENDLESS. A group of whatever size is read where it lies, so
     that only digests move.
     """
 
@@ -134,7 +136,7 @@ def partial_digests(rows: DataFrame, group: str, fields: list[str], part: str |
             pairs, at = np.unique(np.column_stack([groups, parts]), axis=0, return_inverse=True)
             code = np.array([codes.setdefault((int(g), int(p)), len(codes)) for g, p in pairs])[at.reshape(-1)]
             for i, f in enumerate(fields):
-                value = batch.column(2 + i).to_numpy(zero_copy_only=False)
+                value = np.clip(batch.column(2 + i).to_numpy(zero_copy_only=False), -ENDLESS, ENDLESS)
                 there = ~np.isnan(value)
                 waiting[f].append((code[there], value[there]))
             rows_waiting += batch.num_rows

@@ -55,16 +55,16 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
-def pack(items: DataFrame, key: str, size: str, specs: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+def pack(items: DataFrame, key: str, size: str, specs: DataFrame, group_rows: int = GROUP_ROWS, rows: int | None = None) -> DataFrame:
     """(spec_id, container, key, part, first_token, tokens): every item in a container of every spec.
 
     items have a key and a size, specs a spec_id and a capacity of at least 1. An item of size 0 takes no room and goes
     into the first container of its group. An item that exceeds the capacity comes in parts, numbered from 0, that say
     where they begin. Items of null key or size and specs of null or smaller capacity take no part; repeated keys are
-    items of their own. No items or no specs give no rows. Other columns take no part.
+    items of their own. No items or no specs give no rows. rows is the number of items, where it is known already. Other columns take no part.
     """
     held = items.select(F.col(key).cast("long").alias("_key"), F.col(size).cast("long").alias("_size")).where("_key is not null and _size >= 0")
-    groups = max(1, -(-items.count() // group_rows))
+    groups = max(1, -(-(items.count() if rows is None else rows) // group_rows))
     wanted = specs.select(F.col("spec_id").cast("int"), F.col("capacity").cast("long")).where("spec_id is not null and capacity >= 1")
     some = wanted.limit(MOST_SPECS + 1).collect()
     if len(some) > MOST_SPECS:
@@ -92,9 +92,9 @@ def pack(items: DataFrame, key: str, size: str, specs: DataFrame, group_rows: in
 def pack_documents(documents: DataFrame, key: str, text: str, specs: DataFrame, folder: str = TOKENIZERS, group_rows: int = GROUP_ROWS) -> DataFrame:
     """pack() of documents as long as their texts have tokens of each spec's tokenizer; a null text has none."""
     tokenizers = [r[0] for r in specs.where("tokenizer is not null").select("tokenizer").distinct().orderBy("tokenizer").limit(100).collect()]
-    packed = None
+    packed, rows = None, documents.count()
     for tokenizer in tokenizers:
-        one = pack(count_tokens(documents, key, text, tokenizer, folder), key, "tokens", specs.where(F.col("tokenizer") == tokenizer), group_rows)
+        one = pack(count_tokens(documents, key, text, tokenizer, folder), key, "tokens", specs.where(F.col("tokenizer") == tokenizer), group_rows, rows)
         packed = one if packed is None else packed.unionByName(one)
     if packed is None:
         packed = documents.sparkSession.createDataFrame([], f"spec_id int, container long, {key} long, part int, first_token long, tokens long")

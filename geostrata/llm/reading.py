@@ -194,7 +194,8 @@ def fit(documents: DataFrame, labels: DataFrame, key: str, text: str, grade: str
     rows = graded.count()
     if rows > FIT_DOCUMENTS:
         graded = graded.where(F.pmod(F.xxhash64(F.lit(3), "_key"), F.lit(1 << 30)) < int((1 << 30) * FIT_DOCUMENTS / rows))
-    held = documents.join(F.broadcast(graded), documents[key] == graded["_key"]).select(F.col("_key"), F.col(text).alias("_t"), "_grade")
+    posts = documents.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_t"))
+    held = posts.join(F.broadcast(graded.select("_key")), "_key")
     got = _featurise(held, "_key", "_t").where(F.col("words") >= least_words).join(F.broadcast(graded), "_key").select("features", "_grade").toPandas()
     if got["_grade"].nunique() < 2:
         return None
