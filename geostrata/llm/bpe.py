@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 #: How a text falls into pieces that are encoded one by one; fixed by the vocabulary.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 TOKENIZERS = os.environ.get("GEOSTRATA_TOKENIZERS", "/opt/tokenizers")
@@ -204,7 +206,7 @@ def encoder_of(blob: bytes) -> Encoder:
 def encode(documents: DataFrame, key: str, text: str, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
     """(key, ids): each row's text as token ids without special tokens; an empty list for an empty or a null text.
 
-    Every row gives a row, whatever its key. No row is compared with another, so nothing moves. Other columns take no part.
+    Every row gives a row, whatever its key. No row is compared with another, so nothing moves but an input of few files. Other columns take no part.
     """
     blob = documents.sparkSession.sparkContext.broadcast(vocabulary(tokenizer, folder))
 
@@ -218,7 +220,7 @@ def encode(documents: DataFrame, key: str, text: str, tokenizer: str = "byte_bpe
                 flat = np.fromiter((i for ids in lists for i in ids), np.int32, int(ends[-1]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, 1000), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=[key, "ids"])
 
-    return documents.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias("_text")).mapInArrow(run, f"{key} long, ids array<int>")
+    return spread(documents.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias("_text"))).mapInArrow(run, f"{key} long, ids array<int>")
 
 
 def count_tokens(documents: DataFrame, key: str, text: str, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
@@ -230,7 +232,7 @@ def count_tokens(documents: DataFrame, key: str, text: str, tokenizer: str = "by
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(encoder.encode(t.as_py())) for t in batch.column(1)], pa.int64())], names=[key, "tokens"])
 
-    return documents.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias("_text")).mapInArrow(run, f"{key} long, tokens long")
+    return spread(documents.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias("_text"))).mapInArrow(run, f"{key} long, tokens long")
 
 
 def decode(encoded: DataFrame, key: str, ids: str = "ids", tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:

@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 #: At most about so many labelled documents fit the ranker, chosen by a hash; all others are only scored.
 FIT_DOCUMENTS = 20_000
 PAIRS = 60_000
@@ -228,4 +230,4 @@ def reading_levels(documents: DataFrame, labels: DataFrame, key: str = "doc_id",
                             score[mine], level[mine] = ranker.score(values[mine]), ranker.grade(values[mine])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, 500), pa.array(words), pa.array(english), pa.array(score, mask=np.isnan(score)), pa.array(level, mask=np.isnan(level))], names=[key, "words", "english", "score", "grade"])
 
-    return documents.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias("_text")).mapInArrow(run, f"{key} long, words int, english boolean, score double, grade double")
+    return spread(documents.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias("_text"))).mapInArrow(run, f"{key} long, words int, english boolean, score double, grade double")
