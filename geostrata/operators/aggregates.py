@@ -120,3 +120,9 @@ def height_quantiles(z: Column, bands: int = 20) -> Column:
 
     inner = [at(b) for b in range(1, bands)]
     return F.when(n > 0, F.array(F.min(z), *inner, F.max(z)))
+
+
+def canopy_shares(h: Column, top: Column, threshold: float, bands: int = 20) -> Column:
+    """Of each of bands + 1 heights from the threshold to the top, the share of all values above it."""
+    above = [F.count(F.when(h > F.lit(threshold) + (top - threshold) * F.lit(b / bands), 1)) / F.count(F.lit(1)) for b in range(bands + 1)]
+    return F.array(*above)

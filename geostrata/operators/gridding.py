@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import GridSpec
+from . import aggregates as A
 
 
 def to_cells(points: DataFrame, spec: GridSpec) -> DataFrame:
@@ -71,3 +72,18 @@ def point_density(file_stats: DataFrame, res: float, radius: float) -> DataFrame
     area = (F.col("max_x") - F.col("min_x")) * (F.col("max_y") - F.col("min_y"))
     share = math.pi * radius * radius / (res * res) if radius > 0 else 1.0
     return file_stats.where(area > 0).agg((F.avg(F.col("point_count") / (area / (res * res))) * (1.5 * share)).alias("density"))
+
+
+def biometrics(heights: DataFrame, cell: list[str], height: str, key: str, threshold: float, bands: int = 20) -> DataFrame:
+    """(cell, rugosity, gap, p85, l1 to l4, t3, t4, lhq, ccf): the forest measures of the heights of each cell, 7 + 2 (bands + 1) numbers.
+
+    All but gap and ccf are of the heights at or above the threshold. Ranks, numbers and tops of a cell are window
+    functions over it, so a cell is a bounded piece of ground.
+    """
+    by = Window.partitionBy(*cell)
+    tall = F.col(height) >= threshold
+    held = heights.select(*cell, F.col(height).alias("_h"), tall.alias("_tall"), key)
+    ranked = held.withColumns({"_top": F.max("_h").over(by), "_n": F.count(F.when(F.col("_tall"), 1)).over(by), "_r": F.row_number().over(Window.partitionBy(*cell, "_tall").orderBy("_h", key))})
+    h = F.when(F.col("_tall"), F.col("_h"))
+    moments = A.l_moments(F.when(F.col("_tall"), F.col("_r")), F.when(F.col("_tall"), F.col("_n")), h)
+    return ranked.groupBy(*cell).agg(F.stddev_samp(h).alias("rugosity"), A.gap_fraction(F.col("_h"), h).alias("gap"), A.percentile(h, 0.85).alias("p85"), *[m.alias(n) for n, m in moments.items()], A.height_quantiles(h, bands).alias("lhq"), A.canopy_shares(F.col("_h"), F.col("_top"), threshold, bands).alias("ccf"))

@@ -63,6 +63,58 @@ class Spline1:
         return basis(np.atleast_1d(x), self.knots) @ self.coefficients
 
 
+    def derivative(self, x: np.ndarray, order: int = 1) -> np.ndarray:
+        knots, c, degree = self.knots, self.coefficients, 3
+        for _ in range(min(order, 4)):
+            if degree == 0:
+                return np.zeros(len(np.atleast_1d(x)))
+            width = knots[degree + 1 : degree + len(c)] - knots[1 : len(c)]
+            c, knots, degree = degree * np.diff(c) / np.where(width > 0, width, 1.0), knots[1:-1], degree - 1
+        return basis(np.atleast_1d(x), knots, degree) @ c
+
+    def integral(self, a: float, b: float) -> float:
+        """Exact: each piece between knots is a cubic, for which three Gauss points are enough."""
+        ends = np.unique(np.clip(self.knots, min(a, b), max(a, b)))
+        node, weight = np.polynomial.legendre.leggauss(3)
+        half = np.diff(ends) / 2
+        at = (ends[:-1] + half)[:, None] + half[:, None] * node[None, :]
+        return float((self(at.ravel()).reshape(at.shape) * weight * half[:, None]).sum()) * (1.0 if b >= a else -1.0)
+
+    def zeros(self, steps: int = 20) -> np.ndarray:
+        """Places where the spline changes its sign, by bisection of a grid between the knots."""
+        inner = np.unique(self.knots)
+        grid = np.unique(np.concatenate([np.linspace(p, q, steps) for p, q in zip(inner[:-1], inner[1:], strict=True)]))
+        low, high = grid[:-1], grid[1:]
+        crossing = np.sign(self(low)) != np.sign(self(high))
+        low, high = low[crossing], high[crossing]
+        for _ in range(60):
+            middle = (low + high) / 2
+            left = np.sign(self(middle)) == np.sign(self(low)) if len(low) else np.zeros(0, bool)
+            low, high = np.where(left, middle, low), np.where(left, high, middle)
+        return np.unique(np.round((low + high) / 2, 12))
+
+
+class Curve:
+    """Smoothing spline curve through points of any number of dimensions, over the length along them; closed if the first point is to follow the last."""
+
+    def __init__(self, points: np.ndarray, s: float | None = None, closed: bool = False):
+        held = np.asarray(points, float)
+        if closed:
+            held = np.vstack([held, held[:1]])
+        self.at = np.r_[0.0, np.cumsum(np.sqrt((np.diff(held, axis=0) ** 2).sum(1)))]
+        self.at /= self.at[-1] if self.at[-1] > 0 else 1.0
+        self.closed = closed
+        # a closed curve is fitted with its ends laid on again, so that they meet smoothly
+        n = min(len(held) - 1, 6) if closed else 0
+        at = np.r_[self.at[-1 - n : -1] - 1, self.at, self.at[1 : 1 + n] + 1]
+        held = np.vstack([held[-1 - n : -1], held, held[1 : 1 + n]])
+        self.axes = [Spline1(at, held[:, d], np.ones(len(at)), (0.0 if s is None else s), min(max(len(at) - 4, 0), 40)) for d in range(held.shape[1])]
+
+    def __call__(self, u: np.ndarray) -> np.ndarray:
+        u = np.atleast_1d(np.asarray(u, float))
+        return np.column_stack([a(u % 1.0 if self.closed else u) for a in self.axes])
+
+
 def _fit(a: np.ndarray, b: np.ndarray, penalty: np.ndarray, s: float) -> np.ndarray:
     gram, right = a.T @ a, a.T @ b
     scale = max(float(np.trace(gram)) / max(len(gram), 1), 1e-12)
@@ -101,6 +153,25 @@ class Spline2:
     def __call__(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return self._rows(np.atleast_1d(x), np.atleast_1d(y)) @ self.coefficients
 
+    def grid(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Values on the lattice of x and y (len(x) x len(y))."""
+        c = self.coefficients.reshape(len(self.x_knots) - 4, len(self.y_knots) - 4)
+        return basis(np.atleast_1d(x), self.x_knots) @ c @ basis(np.atleast_1d(y), self.y_knots).T
+
+    def profile(self, x: float) -> Spline1:
+        """The cross-section at an x, as a spline of y."""
+        section = Spline1.__new__(Spline1)
+        section.knots = self.y_knots
+        section.coefficients = (basis(np.array([x]), self.x_knots) @ self.coefficients.reshape(len(self.x_knots) - 4, -1))[0]
+        return section
+
+    def integral(self, x0: float, x1: float, y0: float, y1: float) -> float:
+        ends = np.unique(np.clip(self.x_knots, min(x0, x1), max(x0, x1)))
+        node, weight = np.polynomial.legendre.leggauss(3)
+        half = np.diff(ends) / 2
+        total = sum(float(h * w * self.profile(m + h * t).integral(y0, y1)) for m, h in zip(ends[:-1] + half, half, strict=True) for t, w in zip(node, weight, strict=True))
+        return total * (1.0 if x1 >= x0 else -1.0)
+
 
 def smooth_tiles(raster: DataFrame, smoothing: float, tile: int, halo: int) -> DataFrame:
     """(band, row, col, value): each cell with data as its tile's smoothing spline has it. A tile is fitted with its halo."""

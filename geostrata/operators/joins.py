@@ -83,7 +83,7 @@ def tile_files(tiles: DataFrame, files: DataFrame, buffer: float, size: float) -
     return t.join(f, ["_tx", "_ty"]).where(meet).select("tile_id", "file_id").distinct()
 
 
-def _search_block(tree: tuple, ids: np.ndarray, query: np.ndarray, k: int | None, radius2: float) -> tuple[np.ndarray, np.ndarray]:
+def _search_block(tree: tuple, ids: np.ndarray, query: np.ndarray, k: int | None, radius2: float, visits: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     points, low, high, bound = tree
     gap = np.maximum(0, np.maximum(low - query, query - high))
     lower = (gap * gap).sum(1)
@@ -92,9 +92,11 @@ def _search_block(tree: tuple, ids: np.ndarray, query: np.ndarray, k: int | None
     limit = radius2
     step = 8
     at = 0
-    while at < len(order) and lower[order[at]] <= limit:
+    seen = 0
+    while at < len(order) and lower[order[at]] <= limit and (visits is None or seen < visits):
         some = order[at : at + step]
         rows = np.concatenate([np.arange(bound[s], bound[s + 1]) for s in some])
+        seen += len(rows)
         d2 = ((points[rows] - query) ** 2).sum(1)
         near = d2 <= limit
         found_i, found_d = np.concatenate([found_i, rows[near]]), np.concatenate([found_d, d2[near]])
@@ -108,7 +110,7 @@ def _search_block(tree: tuple, ids: np.ndarray, query: np.ndarray, k: int | None
     return found_i[best], found_d[best]
 
 
-def knn(queries: DataFrame, query_key: str, points: DataFrame, key: str, columns: list[str], k: int | None, radius: float | None = None, leaf_rows: int = kdsplit.LEAF_ROWS) -> DataFrame:
+def knn(queries: DataFrame, query_key: str, points: DataFrame, key: str, columns: list[str], k: int | None, radius: float | None = None, leaf_rows: int = kdsplit.LEAF_ROWS, visits: int | None = None) -> DataFrame:
     """(query_id, id, d2, rank): the k nearest points of each query by squared distance, ties by id, within a closed radius if there is one.
 
     k of None gives all within the radius. k beyond the number of points gives all of them. A query that is a point
@@ -116,7 +118,8 @@ def knn(queries: DataFrame, query_key: str, points: DataFrame, key: str, columns
     any allowed error; the standard, the priority and the fixed-radius search are this search with k, radius or both.
 
     Points are cut into leaves by k-d splits; a query goes to the leaves that the distance of its k-th neighbour in the
-    sample (an upper bound), or the radius, reaches.
+    sample (an upper bound), or the radius, reaches. With visits a query looks at about so many points of a leaf at most,
+    from the nearest boxes on; the result is then approximate.
     """
     if k is None and radius is None:
         raise ValueError("k or a radius")
@@ -163,7 +166,7 @@ def knn(queries: DataFrame, query_key: str, points: DataFrame, key: str, columns
             query_ids, first = np.unique(asks.column("id").to_numpy(), return_index=True)
             targets = np.column_stack([asks.column(n).to_numpy()[first] for n in names])
             for q, target in zip(query_ids, targets, strict=True):
-                found, d2 = _search_block(tree, ids, target, k, fixed * fixed)
+                found, d2 = _search_block(tree, ids, target, k, fixed * fixed, visits)
                 out.append((np.full(len(found), q), ids[found], d2))
         join = lambda i, kind: np.concatenate([o[i] for o in out]) if out else np.zeros(0, kind)
         return pa.table({"query_id": join(0, np.int64), "id": join(1, np.int64), "d2": join(2, float)})

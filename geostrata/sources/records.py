@@ -45,6 +45,33 @@ def write_doubles(rows: np.ndarray, path: str) -> None:
     np.ascontiguousarray(rows, "<f8").tofile(path)
 
 
+def write_sbet(trajectory: DataFrame, source: str, folder: str, tasks: int) -> DataFrame:
+    """Writes the records of each source in the order of time into files of a shared folder; gives (file, records).
+
+    The rows are laid out by ranges of source and time, so that a long flight becomes several files, in their order, and
+    no task holds a whole one.
+    """
+    import os
+    import uuid
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        rows = pa.Table.from_batches(held)
+        sources = rows.column(0).to_numpy()
+        values = np.column_stack([rows.column(1 + i).to_numpy() for i in range(len(SBET))])
+        os.makedirs(folder, exist_ok=True)
+        for one in np.unique(sources):
+            part = values[sources == one]
+            path = os.path.join(folder, f"{one}-{part[0, 0]:020.6f}-{uuid.uuid4().hex}.sbet")
+            write_doubles(part, path)
+            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([len(part)])], names=["file", "records"])
+
+    held = trajectory.select(F.col(source).cast("long").alias("_source"), *[F.col(c).cast("double") for c in SBET])
+    return held.repartitionByRange(tasks, "_source", "time_s").sortWithinPartitions("_source", "time_s").mapInArrow(run, "file string, records long")
+
+
 def sbet_to_csv(trajectory: DataFrame, zone: int, folder: str) -> None:
     """The fields with easting and northing of a UTM zone in the place of longitude and latitude, as CSV with a header."""
     from ..operators.surface import to_utm
