@@ -45,7 +45,7 @@ def variation(z: Column) -> Column:
 def percentile(z: Column, p: float) -> Column:
     """The value at place trunc((n - 1) p) of the sorted values, without interpolation. p may be 0 and 1.
 
-    Gathers the cell's values in one row; for groups without a size bound use percentile_of_ranked.
+    Gathers the cell's values in one row; for groups without a size bound use gridding.ranked_percentiles.
     """
     values = F.sort_array(F.collect_list(z))
     return F.when(F.count(z) > 0, F.try_element_at(values, ((F.count(z) - 1) * F.lit(float(p))).cast("int") + 1))

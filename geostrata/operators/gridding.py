@@ -87,3 +87,12 @@ def biometrics(heights: DataFrame, cell: list[str], height: str, key: str, thres
     h = F.when(F.col("_tall"), F.col("_h"))
     moments = A.l_moments(F.when(F.col("_tall"), F.col("_r")), F.when(F.col("_tall"), F.col("_n")), h)
     return ranked.groupBy(*cell).agg(F.stddev_samp(h).alias("rugosity"), A.gap_fraction(F.col("_h"), h).alias("gap"), A.percentile(h, 0.85).alias("p85"), *[m.alias(n) for n, m in moments.items()], A.height_quantiles(h, bands).alias("lhq"), A.canopy_shares(F.col("_h"), F.col("_top"), threshold, bands).alias("ccf"))
+
+
+def ranked_percentiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """(keys, shares): as aggregates.percentile, by ranks of a sort that can spill, for groups of any size."""
+    by = Window.partitionBy(*keys)
+    held = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    ranked = held.withColumns({"_r": F.row_number().over(by.orderBy("_v")), "_n": F.count(F.lit(1)).over(by)})
+    at = lambda p: F.max(F.when(F.col("_r") == ((F.col("_n") - 1) * F.lit(float(p))).cast("int") + 1, F.col("_v")))
+    return ranked.groupBy(*keys).agg(*[at(p).alias(n) for n, p in shares.items()])

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from . import kdsplit
 
 STUCK_RUN = 8
@@ -27,7 +28,6 @@ LIMIT = 4.0
 WEIGHT = 0.1
 BLOCK_ROWS = 200_000
 HALO_ROWS = 200
-_VERDICT = "field string, source long, reading_id long, impossible boolean, stuck boolean, spike double, normal double"
 
 
 def control_chart(values: np.ndarray, weight: float = WEIGHT, limit: float = LIMIT) -> np.ndarray:
@@ -94,6 +94,14 @@ def raise_normal(normal: float, height: np.ndarray, change: np.ndarray, limit: f
         normal = float(within.max())
 
 
+def front(height: np.ndarray, change: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that can raise a normal change: those whose change is greater than all of no greater height. They are few."""
+    order = np.lexsort((-change, height))
+    height, change = height[order], change[order]
+    record = np.r_[True, change[1:] > np.maximum.accumulate(change)[:-1]] if len(change) else np.zeros(0, bool)
+    return height[record], change[record]
+
+
 def judge_block(keys: np.ndarray, values: np.ndarray, own: np.ndarray, low: float, high: float) -> tuple[np.ndarray, ...]:
     """Of a block in order: rows of (key, impossible, stuck, height), the block's normal change, and the (height, change) beyond it."""
     possible = (values >= low) & (values <= high)
@@ -114,7 +122,7 @@ def judge_block(keys: np.ndarray, values: np.ndarray, own: np.ndarray, low: floa
         normal = raise_normal(max(float(np.median(scale)), float(np.quantile(change, 0.9))), over, change)
     beyond = change > normal
     row = own & (~possible | stuck | (height > LIMIT * normal))
-    return np.nonzero(row)[0], ~possible, stuck, height, normal, over[beyond], change[beyond]
+    return np.nonzero(row)[0], ~possible, stuck, height, normal, *front(over[beyond], change[beyond])
 
 
 def _blocks(readings: DataFrame, source: str, order: str, key: str, block_rows: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -189,19 +197,15 @@ def judge(readings: DataFrame, key: str, source: str, order: str, limits: dict[s
         })
 
     def in_source(group: pa.Table) -> pa.Table:
-        keyed = group.column("key").is_valid().to_numpy()
-        height, change = group.column("height").to_numpy(), group.column("change").to_numpy()
         # a block's normal change has height 0, so it always counts
-        normal = raise_normal(0.0, height[~keyed], change[~keyed])
-        spike = height[keyed] > LIMIT * normal
-        out = group.filter(pa.array(keyed))
-        impossible, stuck = out.column("impossible").to_numpy(), out.column("stuck").to_numpy()
-        kept = impossible | stuck | spike
-        n = int(kept.sum())
-        return pa.table({
-            "field": pa.array([names[group.column("field")[0].as_py()]] * n, pa.string()), "source": out.column("source").to_numpy()[kept], "reading_id": out.column("key").to_numpy()[kept],
-            "impossible": impossible[kept], "stuck": stuck[kept], "spike": np.where(spike, height[keyed], 0.0)[kept], "normal": np.full(n, normal),
-        })
-
-    judged = held.mapInArrow(send, middle).groupBy("field", "source", "block").applyInArrow(in_block, "field int, source long, key long, impossible boolean, stuck boolean, height double, change double")
-    return judged.groupBy("field", "source").applyInArrow(in_source, _VERDICT)
+        normal = raise_normal(0.0, group.column("height").to_numpy(), group.column("change").to_numpy())
+        return pa.table({"field": group.column("field").slice(0, 1), "source": group.column("source").slice(0, 1), "normal": [normal]})
+
+    judged = cut(held.mapInArrow(send, middle).groupBy("field", "source", "block").applyInArrow(in_block, "field int, source long, key long, impossible boolean, stuck boolean, height double, change double"))
+    normals = judged.where(F.col("key").isNull()).groupBy("field", "source").applyInArrow(in_source, "field int, source long, normal double")
+    # a source may have any number of suspects, so they meet its one row of normals in a join and not in a group
+    suspects = judged.where(F.col("key").isNotNull()).join(normals, ["field", "source"])
+    spike = F.col("height") > LIMIT * F.col("normal")
+    name = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("field") + 1)
+    found = suspects.where(F.col("impossible") | F.col("stuck") | spike)
+    return found.select(name.alias("field"), "source", F.col("key").alias("reading_id"), "impossible", "stuck", F.when(spike, F.col("height")).otherwise(0.0).alias("spike"), "normal")

@@ -48,6 +48,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df in at least as many partitions as tasks can run at once. An input of enough files stays as it is and nothing moves."""
+    """df in at least as many partitions as tasks can run at once. An input of enough files, or one that has been shuffled, stays as it is and nothing moves."""
     tasks = df.sparkSession.sparkContext.defaultParallelism
+    if "AdaptiveSparkPlan" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df

@@ -65,6 +65,13 @@ def test_aggregates_against_numpy(spark):
     assert tuple(empty) == (None, None, 1.0, None)
 
 
+def test_ranked_percentiles_equal_the_gathered_ones(spark):
+    df = spark.createDataFrame([(i % 3, None if i % 11 == 0 else float(i * 7 % 50)) for i in range(200)], "g int, z double")
+    a = gridding.ranked_percentiles(df, ["g"], "z", {"p": 0.85, "m": 0.5})
+    b = df.groupBy("g").agg(A.percentile(F.col("z"), 0.85).alias("p"), A.median(F.col("z")).alias("m"))
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
 def test_filter_grammar():
     f = filters.parse("-f:max:c=2,5;l;minz=3;a=-5,5")
     assert f.method == "max" and f.classes == (2, 5) and f.last and f.z == (3.0, None) and f.angle == (-5.0, 5.0) and f.z_bounds() == (3.0, math.inf)

@@ -23,6 +23,19 @@ def test_surface_spline():
     assert np.abs(interp.Spline2(x, y, z, s=1e-6)(x, y) - z).max() < 0.01
 
 
+def test_calculus_of_splines():
+    x = np.linspace(0, 10, 80)
+    s = interp.Spline1(x, np.sin(x), s=1e-8)
+    assert np.abs(s.derivative(x) - np.cos(x)).max() < 1e-3 and np.abs(s.derivative(x[10:-10], 2) + np.sin(x[10:-10])).max() < 0.02
+    assert math.isclose(s.integral(0, math.pi), 2, abs_tol=1e-5) and np.allclose(s.zeros(), [0, math.pi, 2 * math.pi, 3 * math.pi], atol=1e-4)
+    a, b = np.random.default_rng(0).random((2, 400))
+    z = interp.Spline2(a, b, a * b, s=1e-9)
+    assert math.isclose(z.integral(0.1, 0.9, 0.1, 0.9), 0.16, abs_tol=1e-6) and np.isclose(z.profile(0.5)([0.5]), 0.25) and np.isclose(z.grid([0.5], [0.5]), 0.25)
+    t = np.linspace(0, 2 * math.pi, 40, endpoint=False)
+    circle = interp.Curve(np.column_stack([np.cos(t), np.sin(t)]), closed=True)(np.linspace(0, 1, 50))
+    assert np.abs(np.hypot(*circle.T) - 1).max() < 1e-4
+
+
 def test_rbf_passes_through_its_points():
     f = interp.Rbf([0.0, 10.0], [0.0, 10.0], [10.0, 0.0], span=5.0)
     assert np.allclose(f([0.0, 10.0], [0.0, 10.0]), [10.0, 0.0]) and f([100.0], [100.0])[0] == 0.0
