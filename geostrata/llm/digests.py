@@ -21,6 +21,8 @@ COMPRESSION = 200.0
 ENDLESS = 1e150
 #: Salts that the rows of a group are spread over where they meet its thresholds.
 SALTS = 32
+#: With more partitions than this, digests of a group are merged in so many parts before they are merged into one.
+FAN = 128
 _DIGEST = "count long, least double, most double, means array<double>, weights array<double>"
 
 
@@ -162,6 +164,10 @@ def merge_digests(digests: DataFrame, by: list[str], compression: float = COMPRE
         return pa.table({b: held.column(b).slice(0, 1) for b in by} | _pack([merge(_unpack(held), compression)]))
 
     kinds = dict(digests.dtypes)
+    if by and int(digests.sparkSession.conf.get("spark.sql.shuffle.partitions")) > FAN:
+        # a hot group has a digest from each of many partitions: they are merged in FAN parts first
+        held = digests.select(*by, "count", "least", "most", "means", "weights").withColumn("_fan", F.pmod(F.spark_partition_id(), F.lit(FAN)))
+        digests = held.groupBy(*by, "_fan").applyInArrow(one, ", ".join(f"{b} {kinds[b]}" for b in by) + f", {_DIGEST}")
     return digests.groupBy(*by).applyInArrow(one, ", ".join(f"{b} {kinds[b]}" for b in by) + f", {_DIGEST}")
 
 

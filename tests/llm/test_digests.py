@@ -73,3 +73,12 @@ def test_deliveries_count_once(spark):
     df = spark.createDataFrame([(1, 5.0), (1, 5.0), (2, 6.0), (None, 7.0), (None, 7.0)], "id long, z double")
     assert sorted(r["z"] for r in digests.once(df, "id", "z").collect()) == [5.0, 6.0, 7.0, 7.0]
     assert digests.once(df, "id", F.col("z").alias("w")).columns == ["_key", "w"]
+
+
+def test_merging_in_parts_gives_the_same_counts(spark, monkeypatch):
+    monkeypatch.setattr(digests, "FAN", 2)
+    z = np.random.default_rng(9).normal(0, 1, 4000)
+    df = spark.createDataFrame([(int(i), int(i % 2), float(v)) for i, v in enumerate(z)], "id long, g int, z double").repartition(9)
+    got = digests.percentiles(digests.merge_digests(digests.partial_digests(df, "g", ["z"]), ["group_id", "field"]), [50]).collect()
+    assert sorted((r["group_id"], r["count"]) for r in got) == [(0, 2000), (1, 2000)]
+    assert all(abs(true_share(z[r["group_id"] :: 2], r["value"]) - 0.5) < 0.01 for r in got)
