@@ -26,7 +26,7 @@ from ..session import spread
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 TOKENIZERS = os.environ.get("GEOSTRATA_TOKENIZERS", "/opt/tokenizers")
 #: Entries that a worker keeps before it starts anew; a longer piece is not kept.
-KEPT_PIECES, KEPT_STATES, LONGEST_KEPT = 400_000, 400_000, 64
+KEPT_PIECES, KEPT_STATES, KEPT_PAIRS, LONGEST_KEPT = 200_000, 60_000, 200_000, 64
 
 
 def read_ranks(blob: bytes) -> dict[bytes, int]:
@@ -87,6 +87,8 @@ class Encoder:
                 known = self.merge(self.bytes_of[token]) == [token]
             else:
                 known = self.merge(self.bytes_of[last] + self.bytes_of[token]) == [last, token]
+            if len(self.fits) >= KEPT_PAIRS:
+                self.fits.clear()
             self.fits[key] = known
         return known
 
