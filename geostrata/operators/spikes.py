@@ -61,7 +61,11 @@ def run_lengths(values: np.ndarray) -> np.ndarray:
 
 
 def excursions(values: np.ndarray, longest: int = SPIKE_RUN) -> np.ndarray:
-    """Of each reading, the largest h such that it is in a run of at most longest readings that all differ by h or more from the reading before the run and from the one after it."""
+    """Of each reading, the largest h such that it is in a run of at most longest readings that all differ by h or more from the reading before the run and from the one after it.
+
+    A reading between the two is on a slope and no excursion: as no undisturbed change is beyond a quarter of a spike's
+    height, what comes before a spike and what comes after it lie on the same side of it.
+    """
     n = len(values)
     best = np.zeros(n)
     for length in range(1, min(longest, n - 2) + 1):
@@ -69,7 +73,9 @@ def excursions(values: np.ndarray, longest: int = SPIKE_RUN) -> np.ndarray:
         before, after = values[:starts], values[length + 1 :]
         height = np.full(starts, np.inf)
         for k in range(1, length + 1):
-            height = np.minimum(height, np.minimum(np.abs(values[k : k + starts] - before), np.abs(values[k : k + starts] - after)))
+            held = values[k : k + starts]
+            off = np.minimum(np.abs(held - before), np.abs(held - after))
+            height = np.minimum(height, np.where((held > before) == (held > after), off, 0.0))
         for k in range(1, length + 1):
             best[k : k + starts] = np.maximum(best[k : k + starts], height)
     return best

@@ -74,6 +74,13 @@ def test_excursions_against_the_definition():
     best = np.zeros(60)
     for length in range(1, 6):
         for start in range(1, 60 - length):
-            h = min(min(abs(v - x[start - 1]), abs(v - x[start + length])) for v in x[start : start + length])
+            a, b = x[start - 1], x[start + length]
+            h = min(min(abs(v - a), abs(v - b)) if (v > a) == (v > b) else 0.0 for v in x[start : start + length])
             best[start : start + length] = np.maximum(best[start : start + length], h)
     assert (excursions(x) == best).all()
+
+
+def test_slopes_between_levels_are_no_spikes(spark):
+    z = [10.0] * 7 + [10.1] * 7 + [12.5, 15.5] + [17.0, 17.1] * 30 + [15.0, 12.0] + [10.0, 10.1] * 30
+    z[40] = 90.0
+    assert {g[0] for g in judged(spark, series(z)) if g[3]} == {40}
