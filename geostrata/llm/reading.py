@@ -24,7 +24,8 @@ from ..session import spread
 #: At most about so many labelled documents fit the ranker, chosen by a hash; all others are only scored.
 FIT_DOCUMENTS = 20_000
 PAIRS = 60_000
-RIDGE = 0.1
+#: Over the number of labelled documents it is the weight of the ridge: few documents bear few features.
+RIDGE = 2.0
 
 _QUOTES = [
     regex.compile(r"\[quote[^\]\n]*\](?:(?!\[/?quote).)*?\[/quote\]", regex.I | regex.S),
@@ -150,6 +151,7 @@ def fit_ranker(values: np.ndarray, grades: np.ndarray, columns: tuple[int, ...],
     z = np.clip((held - middle) / spread, -6, 6)
     rng = np.random.default_rng(seed)
     n = len(z)
+    ridge = ridge / max(n, 1)
     if n * (n - 1) <= 2 * pairs:
         i, j = np.triu_indices(n, 1)
     else:
