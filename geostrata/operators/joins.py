@@ -161,7 +161,7 @@ def knn(queries: DataFrame, query_key: str, points: DataFrame, key: str, columns
         if len(entries) and len(asks):
             ids, first = np.unique(entries.column("id").to_numpy(), return_index=True)
             at = np.column_stack([entries.column(n).to_numpy()[first] for n in names])
-            o, boxes, bound = kdsplit._tree(at, 16)
+            o, boxes, bound = kdsplit.build_tree(at, 16)
             tree, ids = (at[o], *boxes[-1], bound), ids[o]
             query_ids, first = np.unique(asks.column("id").to_numpy(), return_index=True)
             targets = np.column_stack([asks.column(n).to_numpy()[first] for n in names])

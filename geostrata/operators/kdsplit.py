@@ -132,7 +132,7 @@ def route(points: DataFrame, key: str, columns: list[str], splits: KdSplits, rea
     return points.select(F.col(key).cast("long").alias(key), *[F.col(c).cast("double").alias(c) for c in columns]).mapInArrow(send, schema)
 
 
-def _tree(points: np.ndarray, bucket: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+def build_tree(points: np.ndarray, bucket: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
     """Order of the points by leaf, boxes by level, and the leaves' bounds in that order. The tree is complete and balanced."""
     n, dims = points.shape
     height = max(0, int(np.ceil(np.log2(n / bucket))))
@@ -161,7 +161,7 @@ def pairs_within(points: np.ndarray, radius2: float, bucket: int = 8, block: int
     n = len(points)
     if n < 2:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    order, boxes, bound = _tree(points, bucket)
+    order, boxes, bound = build_tree(points, bucket)
     a = b = np.zeros(1, np.int64)
     for low, high in boxes[1:]:
         same = a == b

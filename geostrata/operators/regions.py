@@ -112,6 +112,7 @@ def components(raster: DataFrame, diagonal: bool = False, tile: int = TILE) -> D
 
     labelled = cut(spread.groupBy("band", "tile_row", "tile_col").applyInArrow(label, "band int, row int, col int, value double, name long, tile long, own boolean, edge boolean"))
     # a node is a region of a tile; a border cell says which regions of tiles are one
+    # (told apart by 64 bits of a hash)
     node = F.xxhash64("band", "tile", "name")
     shared = labelled.where("edge").select("band", "row", "col", "tile", "name", node.alias("node"))
     pairs = shared.withColumn("to", F.min("node").over(Window.partitionBy("band", "row", "col"))).where("node <> to").select(F.col("node").alias("a"), F.col("to").alias("b")).distinct()
@@ -144,7 +145,8 @@ def void_fill(raster: DataFrame, extents: DataFrame, exponent: float = 2.0, tile
     1, weighted by (1 / squared distance) to the exponent.
     """
     frame = extents.select("band", "min_row", "max_row", "min_col", "max_col")
-    all_cells = frame.withColumn("row", F.explode(F.sequence("min_row", "max_row"))).withColumn("col", F.explode(F.sequence("min_col", "max_col"))).select("band", "row", "col")
+    # rows are spread over the tasks before they become cells, for a frame is one row
+    all_cells = frame.withColumn("row", F.explode(F.sequence("min_row", "max_row"))).repartition("band", "row").withColumn("col", F.explode(F.sequence("min_col", "max_col"))).select("band", "row", "col")
     data = raster.where(F.col("value").isNotNull()).select("band", "row", "col", F.col("value").cast("double").alias("value"))
     voids = all_cells.join(data.select("band", "row", "col"), ["band", "row", "col"], "left_anti").withColumn("value", F.lit(0.0))
     regions = cut(components(voids, tile=tile))

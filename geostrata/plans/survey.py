@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.near import expand, near
-from ..operators.spikes import judge
+from ..operators.spikes import LIMIT, SPIKE_RUN, STUCK_RUN, judge
 from ..session import table
 
 NEAR_RADIUS2 = 0.12
@@ -48,9 +48,38 @@ edges as (select zone_id, unnest(c[1:-2]) as p, unnest(c[2:]) as q from corners)
 box as (select zone_id, min(least(p[1], q[1])) as x0, max(greatest(p[1], q[1])) as x1, min(least(p[2], q[2])) as y0, max(greatest(p[2], q[2])) as y1 from edges group by 1),
 crossed as (select e.zone_id, t.point_id from pts t join box on x between x0 and x1 and y between y0 and y1 join edges e on e.zone_id = box.zone_id
   where (p[2] > y) <> (q[2] > y) and x < (q[1] - p[1]) * (y - p[2]) / (q[2] - p[2]) + p[1])
-select 'point' as kind, p.point_id as id_a, q.point_id as id_b from c p, unnest([-1, 0, 1]) i(i), unnest([-1, 0, 1]) j(j), c q where q.a = p.a + i and q.b = p.b + j and p.point_id < q.point_id and power(p.x - q.x, 2) + power(p.y - q.y, 2) <= {NEAR_RADIUS2}
+select 'point' as kind, p.point_id as id_a, q.point_id as id_b from (select *, a + i as na, b + j as nb from c, unnest([-1, 0, 1]) i(i), unnest([-1, 0, 1]) j(j)) p join c q on q.a = p.na and q.b = p.nb where p.point_id < q.point_id and power(p.x - q.x, 2) + power(p.y - q.y, 2) <= {NEAR_RADIUS2}
 union all select 'zone' as kind, zone_id, point_id from crossed group by zone_id, point_id having count(*) % 2 = 1"""
 
 
+def _spike_sql() -> str:
+    """The definition in SQL: heights of all short runs by lags and leads, and the normal change as the least one that bears itself."""
+    heights = []
+    for length in range(1, SPIKE_RUN + 1):
+        for place in range(1, length + 1):
+            before, after = f"lag(v, {place}) over w", f"lead(v, {length - place + 1}) over w"
+            each = []
+            for k in range(1, length + 1):
+                held = "v" if k == place else f"lag(v, {place - k}) over w" if k < place else f"lead(v, {k - place}) over w"
+                each.append(f"case when ({held} > {before}) = ({held} > {after}) then least(abs({held} - {before}), abs({held} - {after})) else 0 end")
+            low = each[0] if length == 1 else f"least({', '.join(each)})"
+            heights.append(f"case when {before} is not null and {after} is not null then {low} else 0 end")
+    fields = [("z", "pc_memgrid", "point_id", "file_id", "gps_time", *Z_LIMITS["z"])] + [(f, "pc_trajectory", "rec_id", "flight_id", "time_s", *limits) for f, limits in FLIGHT_LIMITS.items()]
+    readings = " union all ".join(f"select distinct '{f}' as field, {key} as id, {source} as src, {at} as t, {f} as v, {f} < {low!r} or {f} > {high!r} as impossible from {name} where {f} is not null and not isnan({f})" for f, name, key, source, at, low, high in fields)
+    return f"""with r as ({readings}),
+n as (select *, row_number() over o as k, case when lag(v) over o = v then 0 else 1 end as begins from r window o as (partition by field, src order by t, id)),
+u as (select *, sum(begins) over (partition by field, src order by k) as run from n),
+s as (select *, count(*) over (partition by field, src, run) >= {STUCK_RUN} as stuck from u),
+h as (select *, greatest({", ".join(heights)}) as height, lag(v) over w as pv, lag(k) over w as pk, lag(stuck) over w as ps from s where not impossible window w as (partition by field, src order by k)),
+c as (select field, src, abs(v - pv) as change, greatest(height, lag(height) over (partition by field, src order by k)) as over_ from h qualify pk = k - 1 and not stuck and not ps),
+g as (select field, src, over_, max(change) over (partition by field, src order by over_ range between unbounded preceding and current row) as most from c),
+q as (select field, src, quantile_disc(change, 0.9) as start from c group by 1, 2),
+m as (select c.field, c.src, c.change from c join q on c.field = q.field and c.src = q.src and c.change >= q.start),
+b as (select m.field, m.src, m.change, g.most from (select distinct *, {LIMIT} * change as reach from m) m asof join (select distinct * from g) g on m.field = g.field and m.src = g.src and m.reach >= g.over_),
+normal as (select field, src, min(change) as normal from b where most <= change group by 1, 2)
+select field, id as reading_id from s where impossible or stuck
+union select h.field, h.id from h join normal on h.field = normal.field and h.src = normal.src where height > {LIMIT} * normal"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": _NEAR_SQL}
+    return {"p3_found": _spike_sql(), "p4_found": _NEAR_SQL}

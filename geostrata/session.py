@@ -27,7 +27,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Uses the folder of spark.checkpoint.dir. Where that is unset a temporary folder serves, on one machine only."""
     context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir")
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     if named is None:
