@@ -111,7 +111,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _PLACES = """pts as (select distinct point_id, x, y, z from pc_memgrid where x is not null and y is not null and z is not null and not isnan(x) and not isnan(y) and not isnan(z))"""
 #: Cells as wide as the link's limit, so that linked points are in neighbouring ones.
 _LINKS = f"""with recursive {_PLACES}, c as (select *, floor(x / 1.06) as a, floor(y / 1.06) as b from pts),
-links as (select p.point_id as u, q.point_id as v from c p, unnest([-1, 0, 1]) i(i), unnest([-1, 0, 1]) j(j), c q where q.a = p.a + i and q.b = p.b + j and p.point_id <> q.point_id
+links as (select p.point_id as u, q.point_id as v from (select *, a + i as na, b + j as nb from c, unnest([-1, 0, 1]) i(i), unnest([-1, 0, 1]) j(j)) p join c q on q.a = p.na and q.b = p.nb where p.point_id <> q.point_id
   and power(p.x - q.x, 2) + power(p.y - q.y, 2) + power(p.z - q.z, 2) <= {LINK2}),
 reach(u, v) as (select u, u from links union select r.u, l.v from reach r join links l on r.v = l.u),
 named as (select u as point_id, min(v) as cluster_id, count(*) as n from reach group by u)
