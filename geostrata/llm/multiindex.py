@@ -184,8 +184,11 @@ def nearest(queries: DataFrame, query_key: str, points: DataFrame, key: str, col
             query_ids, first = np.unique(asks.column("id").to_numpy(), return_index=True)
             at = np.column_stack([asks.column(n).to_numpy()[first] for n in names])
             reach2 = asks.column("reach2").to_numpy()[first]
-            for q, vector, limit in zip(query_ids, at, reach2, strict=True):
-                found, distance2 = index.search(vector, want, float(limit))
+            # queries at one place have the same reach and the same neighbours, so a place is searched once
+            place, first, at_place = np.unique(at, axis=0, return_index=True, return_inverse=True)
+            searched = [index.search(p, want, float(reach2[f])) for p, f in zip(place, first, strict=True)]
+            for q, k_place in zip(query_ids, at_place.reshape(-1), strict=True):
+                found, distance2 = searched[k_place]
                 if skip_self:
                     other = found != q
                     found, distance2 = found[other][:k], distance2[other][:k]
