@@ -65,7 +65,7 @@ def near(points: DataFrame, key: str, x: str, y: str, radius2: float, zones: Dat
     once. Points at one place are pairs of each other (at distance 0); a hot place, one that holds so many rows that
     it shows HOT_ROWS times in the sample, goes through as its smallest key alone and its members come as the second
     result, (key, _rep), else None: expand() gives the pairs of all members. Null, empty and unreadable shapes hold no
-    point. Empty inputs give no pair. Other columns of the inputs take no part.
+    point; a zone with several rows is all their shapes together. Empty inputs give no pair. Other columns of the inputs take no part.
     """
     places = points.select(F.col(key).cast("long").alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where(F.col("id").isNotNull() & kdsplit.present(F.col("x"), F.col("y")))
     rows, sample = kdsplit.bounded_sample(places, "id", ["x", "y"])
@@ -87,8 +87,11 @@ def near(points: DataFrame, key: str, x: str, y: str, radius2: float, zones: Dat
         mine = np.nonzero(own)[0]
         mine = mine[np.argsort(at[mine, 0], kind="stable")]
         xs, ys = at[mine, 0], at[mine, 1]
-        for zone, text in dict.fromkeys(zip(regions.column("zone").to_pylist(), regions.column("wkt").to_pylist(), strict=True)):
-            polygons = parse_polygons(text)
+        shapes_of: dict[int, dict[str, None]] = {}
+        for zone, text in zip(regions.column("zone").to_pylist(), regions.column("wkt").to_pylist(), strict=True):
+            shapes_of.setdefault(zone, {})[text] = None
+        for zone, texts in shapes_of.items():
+            polygons = [polygon for text in texts for polygon in parse_polygons(text)]
             low_x, low_y, high_x, high_y = bounds(polygons)
             begin, end = np.searchsorted(xs, low_x, "left"), np.searchsorted(xs, high_x, "right")
             pick = begin + np.nonzero((ys[begin:end] >= low_y) & (ys[begin:end] <= high_y))[0]

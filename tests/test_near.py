@@ -52,7 +52,7 @@ def _hot(sample, least):
 def test_zones(spark):
     rows = [(10, 5.0, 5.0, "", 0), (11, 2.0, 2.0, "", 0), (12, 15.0, 5.0, "", 0), (13, 25.0, 5.0, "", 0)]
     zones = [
-        (1, " polygon((0 0 ,10 0,10 10,0 10,0 0) , (1 1,3 1,3 3,1 3,1 1))", ""), (2, "MULTIPOLYGON (((14 4, 16 4, 16 6, 14 6, 14 4)), ((24 4,24 6,26 6,26 4,24 4)))", ""),
+        (1, "POLYGON ((4 4, 6 4, 6 6, 4 6, 4 4))", ""), (1, " polygon((0 0 ,10 0,10 10,0 10,0 0) , (1 1,3 1,3 3,1 3,1 1))", ""), (2, "MULTIPOLYGON (((14 4, 16 4, 16 6, 14 6, 14 4)), ((24 4,24 6,26 6,26 4,24 4)))", ""),
         (3, None, ""), (4, "", ""), (5, "POLYGON EMPTY", ""), (6, "POINT (5 5)", ""), (7, "POLYGON ((0 0, 1 x))", ""), (None, "POLYGON ((0 0, 9 0, 9 9, 0 0))", ""),
     ]
     assert found(spark, rows, zones) == [("zone", 1, 10), ("zone", 2, 12), ("zone", 2, 13)]
