@@ -49,14 +49,14 @@ def assign_ground(points: DataFrame, ground: DataFrame, cls: int = 2) -> DataFra
 
 
 def weighted_cell_mean(points: DataFrame, spec: GridSpec) -> DataFrame:
-    """(row, col, value): each point spread to the 3 x 3 cells around it, weighted by 1 - d / res^2 with d the squared distance of the cell's middle; d beyond res^2 counts nothing."""
+    """(row, col, value, weight): each point spread to the 3 x 3 cells around it, weighted by 1 - d / res^2 with d the squared distance of the cell's middle; d beyond res^2 counts nothing."""
     col, row = spec.col(F.col("x")), spec.row(F.col("y"))
     offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     spread = points.withColumn("_o", F.explode(offsets)).select("x", "y", "z", (col + F.col("_o.i")).alias("col"), (row + F.col("_o.j")).alias("row"))
     d = F.pow(F.col("x") - spec.x(F.col("col")), 2) + F.pow(F.col("y") - spec.y(F.col("row")), 2)
     res2 = spec.res_x * spec.res_x
-    weighted = spread.where(spec.has(F.col("col"), F.col("row"))).withColumn("_w", F.lit(1.0) - d / res2).where(F.col("_w") > 0)
-    return weighted.groupBy("row", "col").agg((F.sum(F.col("_w") * F.col("z")) / F.sum("_w")).alias("value"))
+    weighted = spread.where(spec.has(F.col("col"), F.col("row"))).withColumn("_w", F.lit(1.0) - d / res2).where(F.col("_w") > 1e-9)
+    return weighted.groupBy("row", "col").agg((F.sum(F.col("_w") * F.col("z")) / F.sum("_w")).alias("value"), F.sum("_w").alias("weight"))
 
 
 def match_clouds(a: DataFrame, b: DataFrame, spec: GridSpec, smoothing: float, tile: int = 64, halo: int = 8) -> DataFrame:
@@ -66,7 +66,7 @@ def match_clouds(a: DataFrame, b: DataFrame, spec: GridSpec, smoothing: float, t
     """
     from .interp import smooth_tiles
 
-    left, right = weighted_cell_mean(a, spec).withColumnRenamed("value", "_a"), weighted_cell_mean(b, spec).withColumnRenamed("value", "_b")
+    left, right = weighted_cell_mean(a, spec).select("row", "col", F.col("value").alias("_a")), weighted_cell_mean(b, spec).select("row", "col", F.col("value").alias("_b"))
     difference = left.join(right, ["row", "col"]).select(F.lit(1).alias("band"), "row", "col", (F.col("_b") - F.col("_a")).alias("value"))
     return smooth_tiles(difference, smoothing, tile, halo).select("row", "col", "value")
 

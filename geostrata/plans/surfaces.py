@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..model import Box, GridSpec
+from ..model import Box
 from ..operators import focal, interp, joins, kmeans, pathfind, raster, regions, sorting, surface
 from ..session import table
 from ..sources import info
@@ -124,18 +124,8 @@ def thin_cells(spark: SparkSession, folder: str) -> DataFrame:
   select "row", col, {steady_sql("sum(w * z) / sum(w)")} as value from s where w > 1e-9 group by 1, 2 having sum(w) > 0.01""")
 def weighted_cells(spark: SparkSession, folder: str) -> DataFrame:
     """Mean heights with points spread over the cells around them; cells with next to no weight are left out."""
-    spec = header(spark, folder)
-    held = points(spark, folder)
-    weights = surface.weighted_cell_mean(held.withColumn("z", F.lit(1.0)), spec).drop("value")
-    total = _cell_weight(held, spec).where("w > 0.01").select("row", "col")
-    return surface.weighted_cell_mean(held, spec).join(weights, ["row", "col"]).join(total, ["row", "col"]).select("row", "col", steady(F.col("value")).alias("value"))
-
-
-def _cell_weight(held: DataFrame, spec: GridSpec) -> DataFrame:
-    from ..operators.gridding import within_radius
-
-    near = within_radius(held.select("x", "y"), spec, abs(spec.res_x))
-    return near.withColumn("w", 1 - F.col("d2") / (spec.res_x * spec.res_x)).where("w > 1e-9").groupBy("row", "col").agg(F.sum("w").alias("w"))
+    found = surface.weighted_cell_mean(points(spark, folder), header(spark, folder)).where("weight > 0.01")
+    return found.select("row", "col", steady(F.col("value")).alias("value"))
 
 
 _KNN = "select p.probe_id, q.point_id, {d} as d2 from pc_probe p, pts q where p.x is not null and p.y is not null and p.z is not null"
