@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -252,12 +254,42 @@ def triangle_area(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(s * (s - u) * (s - v) * (s - w), 0))
 
 
+#: Up to so many points, testing all triples at once is faster than inserting point by point.
+FEW_POINTS = 30
+
+
+@lru_cache(maxsize=FEW_POINTS + 1)
+def _triples(n: int) -> np.ndarray:
+    return np.array(list(combinations(range(n), 3)), np.int64)
+
+
+def _few_triangles(p: np.ndarray) -> np.ndarray:
+    """All triples whose circumcircle holds no other point. Points are moved by a ten-millionth of the extent, so that no four lie on a circle."""
+    n = len(p)
+    i = np.arange(n)
+    q = (p - p.mean(0)) / max(float(np.ptp(p, axis=0).max()), 1e-9) + 1e-7 * np.column_stack([np.sin(i * 12.9898), np.cos(i * 78.233)])
+    t = _triples(n)
+    a, b, c = q[t[:, 0]], q[t[:, 1]], q[t[:, 2]]
+    d = 2 * (a[:, 0] * (b[:, 1] - c[:, 1]) + b[:, 0] * (c[:, 1] - a[:, 1]) + c[:, 0] * (a[:, 1] - b[:, 1]))
+    wide = np.abs(d) > 1e-6  # slivers along the hull are no faces
+    t, a, b, c, d = t[wide], a[wide], b[wide], c[wide], d[wide]
+    far = (q * q).sum(1)
+    fa, fb, fc = far[t[:, 0]], far[t[:, 1]], far[t[:, 2]]
+    x = (fa * (b[:, 1] - c[:, 1]) + fb * (c[:, 1] - a[:, 1]) + fc * (a[:, 1] - b[:, 1])) / d
+    y = (fa * (c[:, 0] - b[:, 0]) + fb * (a[:, 0] - c[:, 0]) + fc * (b[:, 0] - a[:, 0])) / d
+    power = far[None, :] - 2 * (x[:, None] * q[None, :, 0] + y[:, None] * q[None, :, 1])
+    own = fa - 2 * (x * a[:, 0] + y * a[:, 1])
+    return t[(power >= (own - 1e-12 * np.maximum(1, np.abs(own)))[:, None]).all(1)]
+
+
 def delaunay(points: np.ndarray) -> np.ndarray:
-    """Triangles (index triples) of plane points, by insertion with circumcircle tests."""
+    """Triangles (index triples) of plane points: of a few by testing all triples, of more by insertion with circumcircle tests."""
     p = np.asarray(points, float)
     n = len(p)
     if n < 3:
         return np.zeros((0, 3), int)
+    if n <= FEW_POINTS:
+        return _few_triangles(p)
     middle, size = p.mean(0), max(float(np.ptp(p, axis=0).max()), 1e-9)
     q = np.vstack([(p - middle) / size, [[-30.0, -30.0], [30.0, -30.0], [0.0, 45.0]]])
     triangles = np.array([[n, n + 1, n + 2]])
