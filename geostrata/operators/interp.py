@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
 
@@ -345,16 +346,33 @@ def rugosity(points: np.ndarray, density: float) -> float:
     return surface / planar / (_RUGOSITY[0] + _RUGOSITY[1] * math.sqrt(density * _RUGOSITY[2]))
 
 
-def cell_rugosity(cells: DataFrame, keys: list[str], radius: float) -> DataFrame:
-    """(keys, rugosity) of the points (x, y, z) of each cell; a cell is a bounded piece of ground."""
-    kinds = dict(cells.dtypes)
+def cell_rugosity(cells: DataFrame, key: str, radius: float) -> DataFrame:
+    """(key, rugosity) of the points (x, y, z) of each cell, whose key is a number; a cell is a bounded piece of ground.
 
-    def one(held: pa.Table) -> pa.Table:
-        p = np.column_stack([held.column(c).to_numpy() for c in "xyz"])
-        value = rugosity(p, len(p) / (math.pi * radius * radius))
-        return pa.table({k: held.column(k).slice(0, 1) for k in keys} | {"rugosity": pa.array([None if math.isnan(value) else value], pa.float64())})
+    Cells are many and small, so they are not groups of their own: rows come sorted by cell, and a batch is cut where the
+    key changes. What a batch leaves unfinished goes on in the next.
+    """
 
-    return cells.select(*keys, "x", "y", "z").groupBy(*keys).applyInArrow(one, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", rugosity double")
+    def value(part: np.ndarray) -> float | None:
+        found = rugosity(part, len(part) / (math.pi * radius * radius))
+        return None if math.isnan(found) else found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left_keys, left = np.zeros(0, np.int64), np.zeros((0, 3))
+        for batch in batches:
+            keys = np.concatenate([left_keys, batch.column(0).to_numpy(zero_copy_only=False)])
+            held = np.vstack([left, np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3)])])
+            starts = np.nonzero(np.r_[True, keys[1:] != keys[:-1]])[0] if len(keys) else np.zeros(0, np.int64)
+            done = [value(held[i:j]) for i, j in zip(starts[:-1], starts[1:], strict=True)]
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(keys[starts[:-1]]), pa.array(done, pa.float64())], names=[key, "rugosity"])
+            last = starts[-1] if len(starts) else 0
+            left_keys, left = keys[last:], held[last:]
+        if len(left_keys):
+            yield pa.RecordBatch.from_arrays([pa.array(left_keys[:1]), pa.array([value(left)], pa.float64())], names=[key, "rugosity"])
+
+    held = cells.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), *[F.col(c).cast("double").alias(c) for c in "xyz"])
+    return held.repartition(key).sortWithinPartitions(key).mapInArrow(run, f"{key} long, rugosity double")
 
 
 def group_models(points: DataFrame, key: str, model: str, value: str = "z", steps: int = 5, **options) -> DataFrame:

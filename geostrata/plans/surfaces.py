@@ -343,7 +343,7 @@ def rbf_eval(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def rugosity(spark: SparkSession, folder: str) -> DataFrame:
-    return interp.cell_rugosity(_blocks(spark, folder), ["cell"], header(spark, folder).half_diagonal)
+    return interp.cell_rugosity(_blocks(spark, folder), "cell", header(spark, folder).half_diagonal)
 
 
 @query()

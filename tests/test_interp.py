@@ -77,3 +77,15 @@ def test_utm(spark):
     r = spark.range(1).select(x, y, F.degrees(lat), F.degrees(lon)).first()
     assert abs(r[0] - 448251.8) < 1 and abs(r[1] - 5411943.8) < 1
     assert abs(r[2] - 48.8583) < 1e-8 and abs(r[3] - 2.2945) < 1e-8
+
+
+def test_rugosity_of_cells(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(k), *map(float, p)) for k, p in zip(rng.integers(0, 40, 900), rng.random((900, 3)) * [9, 9, 2], strict=True)] + [(99, 0.0, 0.0, 0.0), (None, 0.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "cell long, x double, y double, z double")
+    got = {r["cell"]: r["rugosity"] for r in interp.cell_rugosity(df, "cell", 5.0).collect()}
+    assert set(got) == {*range(40), 99} and got[99] is None
+    for k in (0, 7, 39):
+        p = np.array([r[1:] for r in rows if r[0] == k])
+        assert math.isclose(got[k], interp.rugosity(p, len(p) / (math.pi * 25)), rel_tol=1e-9)
+    assert interp.cell_rugosity(df.limit(0), "cell", 5.0).count() == 0
