@@ -241,7 +241,7 @@ def focal_gaussian(spark: SparkSession, folder: str) -> DataFrame:
     return focal.gaussian_smooth(low(spark, folder), 5, 0.8).withColumn("value", steady(F.col("value")))
 
 
-#: Frames of the strips; the mosaic, which is all of them, is left out of the void queries.
+#: Frames of the files. The SQL leaves out file 1, the mosaic; the queries take it like any other.
 _EXTENT = 'ext as (select band, min("row") as r0, max("row") as r1, min(col) as c0, max(col) as c1 from low where band <> 1 group by band)'
 _VOIDS = f"""{_EXTENT}, frame as (select band, r0, r1, c0, c1, cast(r as integer) as "row", cast(c as integer) as col from ext, unnest(range(r0, r1 + 1)) a(r), unnest(range(c0, c1 + 1)) b(c)),
   void as (select f.band, f."row", f.col, r0, r1, c0, c1 from frame f left join low l on f.band = l.band and f."row" = l."row" and f.col = l.col where l.value is null)"""
@@ -251,19 +251,20 @@ _LABEL = 'label as (select band, "row", col, min(r * 2147483648 + c) as region f
 
 
 def _frames(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    held = low(spark, folder).where("band <> 1")
+    held = low(spark, folder)
     return held, held.groupBy("band").agg(F.min("row").alias("min_row"), F.max("row").alias("max_row"), F.min("col").alias("min_col"), F.max("col").alias("max_col"))
 
 
 def _voids(spark: SparkSession, folder: str) -> DataFrame:
     held, frames = _frames(spark, folder)
-    cells = frames.withColumn("row", F.explode(F.sequence("min_row", "max_row"))).withColumn("col", F.explode(F.sequence("min_col", "max_col"))).select("band", "row", "col")
+    # rows are spread over the tasks before they become cells, for the mosaic's frame alone is most of them
+    cells = frames.withColumn("row", F.explode(F.sequence("min_row", "max_row"))).repartition("band", "row").withColumn("col", F.explode(F.sequence("min_col", "max_col"))).select("band", "row", "col")
     return cells.join(held.drop("value"), ["band", "row", "col"], "left_anti").withColumn("value", F.lit(1.0))
 
 
 @query(f"""with recursive {POINTS}, {GRID}, {LOW}, {_VOIDS}, {_REACH}, {_LABEL} select band, "row", col, cast(region as bigint) as region from label""")
 def region_components(spark: SparkSession, folder: str) -> DataFrame:
-    """The regions of cells without data, inside each strip's frame."""
+    """The regions of cells without data, inside each file's frame."""
     return regions.components(_voids(spark, folder)).select("band", "row", "col", "region")
 
 
@@ -316,7 +317,7 @@ def polygon_shapes(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def astar_cost(spark: SparkSession, folder: str) -> DataFrame:
-    """The least-cost way between the first and the last cell of each strip's lowest points."""
+    """The least-cost way between the first and the last cell of each file's lowest points."""
     held, _ = _frames(spark, folder)
     smooth = focal.gaussian_smooth(held, 5, 0.8)
     ends = held.groupBy("band").agg(F.min(F.struct("row", "col")).alias("a"), F.max(F.struct("row", "col")).alias("b"))
