@@ -39,10 +39,8 @@ def source_las_headers(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"""with {POINTS}, {GRID}, {LOW} select 1 as band, "row", col, arg_min(value, band) as value from low where "row" < 256 and col < 1024 group by "row", col""")
 def source_tiff(spark: SparkSession, folder: str) -> DataFrame:
-    """The mosaic's first tiles, written as GeoTIFF and read again."""
-    from dataclasses import replace
-
-    spec = replace(fine(header(spark, folder)), cols=1024, rows=256)
+    """The mosaic, written as GeoTIFF tiles and read again. The SQL has the cells of its first tiles alone."""
+    spec = fine(header(spark, folder))
     cells = low(spark, folder).groupBy("row", "col").agg(F.min_by("value", "band").alias("value")).select(F.lit(1).alias("band"), "row", "col", "value")
     out = _folder(spark, "tiff")
     written = rasters.write_tiff_tiles(cells, spec, out, 128)

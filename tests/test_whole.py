@@ -1,11 +1,25 @@
 """Queries whose registered SQL does less than the whole job, against that SQL with its bound lifted."""
 
+import os
+
+import duckdb
 import pytest
 
 from geostrata.plans import catalog
 from test_queries import QUERIES, base, rows  # noqa: F401
 
 
+@pytest.fixture(scope="module")
+def larger():
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    con = duckdb.connect()
+    for file in os.listdir(folder):
+        con.execute(f"create view {file.split('.')[0]} as select * from '{folder}/{file}'")
+    return folder, con
+
+
 def lifted(name, *bounds):
     sql = catalog.oracle_sql()[name]
     for bound in bounds:
@@ -31,3 +45,10 @@ def test_path_of_the_mosaic_too(spark, data, base):  # noqa: F811
     files = {r[0] for r in base.execute("select distinct file_id from pc_memgrid where x is not null and not isnan(x)").fetchall()}
     found = {r["band"] for r in QUERIES["astar_cost"](spark, data).select("band").collect()}
     assert 1 in found and found <= files
+
+
+def test_tiff_of_the_whole_mosaic(spark, larger):
+    folder, con = larger
+    ours = QUERIES["source_tiff"](spark, folder).toPandas()
+    assert ((ours["row"] >= 256) | (ours["col"] >= 1024)).any()
+    assert same(ours, con.execute(lifted("source_tiff", 'where "row" < 256 and col < 1024 ')).df())
