@@ -2,8 +2,9 @@
 
 A robust exponentially weighted control chart follows each source in the order of its readings. It keeps the mean and
 the scale of the change from one reading to the next, clips a suspected change before it updates either, and counts
-runs of equal values. The control limit is LIMIT times the source's normal change; that is calibrated from the chart's
-scale upward, to the largest change between successive readings none of which is beyond the limit itself.
+runs of equal values. The control limit is LIMIT times the source's normal change; that is calibrated from the chart
+(its scale, and the changes that it does not suspect) upward, to the largest change between successive readings none of
+which is beyond the limit itself. The chart holds while fewer than one in LIMIT of the changes that are not zero is disturbed.
 
 Long sources are cut into blocks at quantiles of a bounded sample of their order values. Each block gets a halo of
 readings of its neighbours, longer than the chart's memory and than any run that is tested, so that the cuts leave no
@@ -30,26 +31,31 @@ BLOCK_ROWS = 200_000
 HALO_ROWS = 200
 
 
-def control_chart(values: np.ndarray, weight: float = WEIGHT, limit: float = LIMIT) -> np.ndarray:
-    """The scale of the changes after each reading. A change beyond limit times the scale is clipped to it first."""
-    changes = np.diff(values)
-    if not len(changes):
-        return np.zeros(0)
-    mean, scale = 0.0, float(np.median(np.abs(changes)))
-    scales = []
+def control_chart(changes: np.ndarray, weight: float = WEIGHT, limit: float = LIMIT) -> tuple[np.ndarray, np.ndarray]:
+    """The scale after each change, and whether the change is suspected: beyond limit times the scale before it, to which it is clipped first.
+
+    A change of zero tells nothing of the scale and passes it by, so that coarse readings, which mostly repeat, have one.
+    """
+    moving = np.abs(changes[changes != 0])
+    if not len(moving):
+        return np.zeros(len(changes)), np.zeros(len(changes), bool)
+    mean, scale = 0.0, float(np.median(moving))
+    scales, suspected = [], []
     for change in changes.tolist():
-        off = change - mean
+        off = change - mean if change else 0.0
         bound = limit * scale
+        suspected.append(abs(off) > bound)
         if off > bound:
             off = bound
         elif off < -bound:
             off = -bound
-        mean += weight * off
-        scale += weight * (abs(mean + off) - scale)
+        if change:
+            mean += weight * off
+            scale += weight * (abs(mean + off) - scale)
         if scale < 1e-12:
             scale = 1e-12
         scales.append(scale)
-    return np.array(scales)
+    return np.array(scales), np.array(suspected)
 
 
 def run_lengths(values: np.ndarray) -> np.ndarray:
@@ -117,15 +123,18 @@ def judge_block(keys: np.ndarray, values: np.ndarray, own: np.ndarray, low: floa
     held = values[kept]
     height[kept] = excursions(held)
     sound = ~stuck[kept]
-    change = np.abs(np.diff(held))
+    step = np.diff(held)
     pair = sound[1:] & sound[:-1] & (np.diff(kept) == 1)  # what an impossible reading hides is no change of one step
+    scale, suspected = np.zeros(len(step)), np.zeros(len(step), bool)
+    scale[pair], suspected[pair] = control_chart(step[pair])
     pair &= own[kept][1:] | own[kept][:-1]  # a halo may begin inside a spike
     tall = np.maximum(height[kept], edge_excursions(held))
-    change, over = change[pair], np.maximum(tall[1:], tall[:-1])[pair]
+    change, over = np.abs(step[pair]), np.maximum(tall[1:], tall[:-1])[pair]
     normal = 0.0
     if len(change):
-        scale = control_chart(held[sound])
-        normal = raise_normal(max(float(np.median(scale)), float(np.quantile(change, 0.9))), over, change)
+        trusted = change[~suspected[pair]]
+        start = float(np.quantile(trusted, 0.9)) if len(trusted) else 0.0
+        normal = raise_normal(max(float(np.median(scale[pair])), start), over, change)
     beyond = change > normal
     row = own & (~possible | stuck | (height > LIMIT * normal))
     return np.nonzero(row)[0], ~possible, stuck, height, normal, *front(over[beyond], change[beyond])

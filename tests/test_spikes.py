@@ -84,3 +84,30 @@ def test_slopes_between_levels_are_no_spikes(spark):
     z = [10.0] * 7 + [10.1] * 7 + [12.5, 15.5] + [17.0, 17.1] * 30 + [15.0, 12.0] + [10.0, 10.1] * 30
     z[40] = 90.0
     assert {g[0] for g in judged(spark, series(z)) if g[3]} == {40}
+
+
+def test_many_disturbed_changes(spark):
+    """Single spikes at 7.5 % of the readings disturb 15 % of the changes, so the 0.9 quantile of all changes is a spike's."""
+    rng = np.random.default_rng(6)
+    z = np.cumsum(rng.normal(0, 0.2, 4000))
+    at = np.arange(20, 3980, 13)
+    z[at] += (30 + rng.random(len(at)) * 20) * rng.choice([-1, 1], len(at))
+    assert np.quantile(np.abs(np.diff(z)), 0.9) > 25
+    assert {g[0] for g in judged(spark, series(z)) if g[3]} == set(at.tolist())
+
+
+def test_one_bad_block(spark):
+    """A block that is full of spikes sets no limit for the rest of its source."""
+    rng = np.random.default_rng(7)
+    z = np.cumsum(rng.normal(0, 0.2, 4000))
+    at = np.r_[np.arange(1500, 2000, 13), 300, 3300]
+    z[at] += 40
+    assert {g[0] for g in judged(spark, series(z), block_rows=500) if g[3]} == set(at.tolist())
+
+
+def test_coarse_readings_have_a_scale(spark):
+    rng = np.random.default_rng(8)
+    z = np.full(2000, 50.0)
+    z[rng.choice(np.arange(10, 1990), 200, replace=False)] += 0.1
+    z[1000] = 90.0
+    assert {g[0] for g in judged(spark, series(z)) if g[3]} == {1000}
