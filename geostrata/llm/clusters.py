@@ -127,8 +127,8 @@ def cluster(points: DataFrame, key: str, columns: list[str], radius2: float, lea
     cluster_id is the smallest key of the cluster, affinity the sum of a point's affinities, all of them to members of
     its cluster, and size the number of members. A point without all coordinates takes no part. A key delivered again
     with the same values counts once. A point without links is a cluster of one. Points at one place are linked; of a
-    hot place (see kdsplit) the smallest key alone is clustered and stands for the others, whose affinity among
-    themselves is not added. No points give no rows. Other columns take no part.
+    hot place (see kdsplit) the smallest key alone is clustered and stands for the others, with their number as its
+    weight, so that affinities are the same as without it. No points give no rows. Other columns take no part.
     """
     names = [f"v{i}" for i in range(len(columns))]
     places = points.select(F.col(key).cast("long").alias("id"), *[F.col(c).cast("double").alias(n) for c, n in zip(columns, names, strict=True)])
@@ -136,7 +136,12 @@ def cluster(points: DataFrame, key: str, columns: list[str], radius2: float, lea
     rows, sample = kdsplit.bounded_sample(places, "id", names)
     splits = kdsplit.fit_splits(sample, rows, leaf_rows)
     places, members = kdsplit.split_hot(places, "id", names, kdsplit.hot_positions(sample))
-    routed = kdsplit.route(places, "id", names, splits, float(np.sqrt(radius2)) * (1 + 1e-12))
+    if members is None:
+        places = places.withColumn("copies", F.lit(1.0))
+    else:
+        counts = members.groupBy(F.col("_rep").alias("id")).agg(F.count(F.lit(1)).cast("double").alias("copies"))
+        places = places.join(F.broadcast(counts), "id", "left").select("id", *names, F.coalesce("copies", F.lit(1.0)).alias("copies"))
+    routed = kdsplit.route(places, "id", [*names, "copies"], splits, float(np.sqrt(radius2)) * (1 + 1e-12), to_space=lambda v: v[:, : len(columns)])
     single = members is None  # then small clusters inside a leaf are known to be small
 
     def in_leaf(held: pa.Table) -> pa.Table:
@@ -144,8 +149,10 @@ def cluster(points: DataFrame, key: str, columns: list[str], radius2: float, lea
         own = held.column("own").to_numpy()[first]
         at = np.column_stack([held.column(n).to_numpy()[first] for n in names])
         # points at one place are one node of the graph, with their number as its weight
-        place, first, at_place, copies = np.unique(at, axis=0, return_index=True, return_inverse=True, return_counts=True)
+        stands_for = held.column("copies").to_numpy()[first]
+        place, first, at_place = np.unique(at, axis=0, return_index=True, return_inverse=True)
         at_place = at_place.reshape(-1)
+        copies = np.bincount(at_place, stands_for, len(place))
         i, j = kdsplit.pairs_within(place, radius2)
         step = place[i] - place[j]
         w = np.exp(-2 * (step * step).sum(1) / radius2)

@@ -88,3 +88,18 @@ def test_description(spark):
     p = np.array([[0, 0, 0], [1, 0, 0], [-1, 0, 0], [9, 0, 0]], float)
     got = clusters.describe(clusters.cluster(frame(spark, [4, 5, 6, 7], p), "point_id", ["x", "y", "z"], 1.12), 2).orderBy("cluster_id").collect()
     assert [tuple(r) for r in got] == [(4, 3, [4, 5]), (7, 1, [7])]
+
+
+@pytest.mark.parametrize("leaf_rows", [30, 100_000])
+def test_hot_place_has_the_affinities_of_any_other(spark, monkeypatch, leaf_rows):
+    rng = np.random.default_rng(9)
+    p = np.vstack([np.full((50, 3), 1.0), [[1.5, 1.0, 1.0]] * 2, 1.0 + rng.random((60, 3)) * 3, [[50.0, 1.0, 1.0]]])
+    ids = rng.permutation(len(p)) + 1
+    df = frame(spark, [*ids, ids[0]], np.vstack([p, p[:1]]))  # one key delivered again
+    d2 = ((p[:, None] - p[None]) ** 2).sum(2)
+    want = dict(zip(ids.tolist(), np.where(d2 <= 1.12, np.exp(-2 * d2 / 1.12), 0).sum(1) - 1, strict=True))
+    for hot in (np.zeros((0, 3)), np.array([[1.0, 1.0, 1.0]])):
+        monkeypatch.setattr(kdsplit, "hot_positions", lambda sample, least=0, hot=hot: hot)
+        got = {r["id"]: r["affinity"] for r in clusters.cluster(df, "point_id", ["x", "y", "z"], 1.12, 1, leaf_rows).collect()}
+        assert got.keys() == want.keys()
+        assert all(abs(got[i] - a) < 1e-9 for i, a in want.items())
