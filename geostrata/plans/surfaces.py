@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..model import Box
-from ..operators import focal, interp, joins, kmeans, pathfind, raster, regions, sorting, surface
+from ..operators import focal, interp, joins, kdsplit, kmeans, pathfind, raster, regions, sorting, surface
 from ..session import table
 from ..sources import info
 from ..streaming import finalise
@@ -176,9 +176,12 @@ def polygon_search(spark: SparkSession, folder: str) -> DataFrame:
 @query("""with t as (select distinct cast(floor(min_x / 500) as bigint) as tile_id from pc_file where min_x is not null and not isnan(min_x)), b as (select tile_id, tile_id * 500.0 as minx, 5999000.0 as miny, (tile_id + 1) * 500.0 as maxx, 5999500.0 as maxy from t)
   select distinct tile_id, file_id from b, pc_file where min_x is not null and not isnan(min_x) and min_x < maxx + 20 and max_x > minx - 20 and min_y < maxy + 20 and max_y > miny - 20""")
 def tile_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The tiles of all that the files cover. The SQL has those of the row at y 5999000 alone; tiles of that row have the same ids, the others 2^32 more for each row upward."""
     files = table(spark, folder, "pc_file")
-    tiles = files.where("min_x is not null and not isnan(min_x)").select(F.floor(F.col("min_x") / 500).cast("long").alias("tile_id")).distinct()
-    boxes = tiles.select("tile_id", (F.col("tile_id") * 500.0).alias("minx"), F.lit(5999000.0).alias("miny"), ((F.col("tile_id") + 1) * 500.0).alias("maxx"), F.lit(5999500.0).alias("maxy"))
+    span = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / 500).cast("long"), F.floor(F.col(high) / 500).cast("long")))
+    held = files.where(kdsplit.present(*[F.col(c) for c in ("min_x", "min_y", "max_x", "max_y")]) & (F.col("min_x") <= F.col("max_x")) & (F.col("min_y") <= F.col("max_y")))
+    tiles = held.select(span("min_x", "max_x").alias("c"), "min_y", "max_y").select("c", span("min_y", "max_y").alias("r")).distinct()
+    boxes = tiles.select((F.col("c") + (F.col("r") - 11998) * (1 << 32)).alias("tile_id"), (F.col("c") * 500.0).alias("minx"), (F.col("r") * 500.0).alias("miny"), ((F.col("c") + 1) * 500.0).alias("maxx"), ((F.col("r") + 1) * 500.0).alias("maxy"))
     return joins.tile_files(boxes, files, 20.0, 500.0)
 
 

@@ -52,3 +52,14 @@ def test_tiff_of_the_whole_mosaic(spark, larger):
     ours = QUERIES["source_tiff"](spark, folder).toPandas()
     assert ((ours["row"] >= 256) | (ours["col"] >= 1024)).any()
     assert same(ours, con.execute(lifted("source_tiff", 'where "row" < 256 and col < 1024 ')).df())
+
+
+def test_tiles_of_all_files(spark, larger):
+    folder, con = larger
+    ours = {(r["tile_id"], r["file_id"]) for r in QUERIES["tile_files"](spark, folder).collect()}
+    files = con.execute("select distinct file_id, min_x, min_y, max_x, max_y from pc_file where min_x is not null and not isnan(min_x)").fetchall()
+    tiles = {(c, r) for _, a, b, x, y in files for c in range(int(a // 500), int(x // 500) + 1) for r in range(int(b // 500), int(y // 500) + 1)}
+    want = {(c + (r - 11998) * 2**32, f) for c, r in tiles for f, a, b, x, y in files if a < c * 500 + 520 and x > c * 500 - 20 and b < r * 500 + 520 and y > r * 500 - 20}
+    assert ours == want
+    assert {f for _, f in ours} == {f[0] for f in files}
+    assert ours >= set(con.execute(catalog.oracle_sql()["tile_files"]).fetchall())
