@@ -53,13 +53,16 @@ def finalise_cells(stream: DataFrame, time_column: str, late: str, cell: str, va
     return held.groupBy("cell").applyInPandasWithState(update, "cell string, n long, mean double", "n long, total double, last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def run_to_table(spark: SparkSession, result: DataFrame, limit_s: float = 600.0) -> DataFrame:
-    """Runs a stream over what is there into files in the shared folder, and gives them as a table."""
+def run_to_table(spark: SparkSession, result: DataFrame, limit_s: float | None = None) -> DataFrame:
+    """Runs a stream over what is there into files in the shared folder, and gives them as a table. A stream that has not ended after limit_s, if that is given, is an error."""
     ensure_checkpoint_dir(spark)
     base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
     query = result.writeStream.format("parquet").option("checkpointLocation", f"{base}/state").option("path", f"{base}/out").outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination(limit_s)
-    query.stop()
+    try:
+        if query.awaitTermination(limit_s) is False:
+            raise TimeoutError(f"the stream has not ended after {limit_s} s")
+    finally:
+        query.stop()
     return spark.read.schema(result.schema).parquet(f"{base}/out")
 
 

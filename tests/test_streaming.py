@@ -1,5 +1,6 @@
 import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from geostrata.streaming import finalise
@@ -32,3 +33,13 @@ def test_cells_are_finalised_from_state(spark, tmp_path):
     stream = source(spark, tmp_path, [[(0, 1, 2), (1, 1, 4), (2, 2, 5)], [(100, 3, 1)], [(200, 3, 1)]])
     got = finalise.run_to_table(spark, finalise.finalise_cells(stream, "ts", "1 minute", "cell", "value", 60_000))
     assert {(r["cell"], r["n"], r["mean"]) for r in got.where("cell < 3").collect()} == {("1", 2, 3.0), ("2", 1, 5.0)}
+
+
+def test_a_stream_that_is_cut_short_is_an_error(spark, data):
+    schema = spark.read.parquet(f"{data}/events.parquet").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(data)
+    found = finalise.cell_counts(stream.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "1 hour", "10 minutes", ["event_type"], "value")
+    with pytest.raises(TimeoutError):
+        finalise.run_to_table(spark, found, 0.01)
+    assert not spark.streams.active
+    assert finalise.run_to_table(spark, found).count() > 0
