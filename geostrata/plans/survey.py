@@ -52,8 +52,14 @@ select 'point' as kind, p.point_id as id_a, q.point_id as id_b from (select *, a
 union all select 'zone' as kind, zone_id, point_id from crossed group by zone_id, point_id having count(*) % 2 = 1"""
 
 
-def _spike_sql() -> str:
-    """The definition in SQL: heights of all short runs by lags and leads, and the normal change as the least one that bears itself."""
+_CASES = f"""select field, id as reading_id from s where impossible or stuck
+union select h.field, h.id from h join normal on h.field = normal.field and h.src = normal.src where height > {LIMIT} * normal"""
+_REASONS = f"""select s.field, s.src::bigint as source, s.id as reading_id, s.impossible, s.stuck, case when height > {LIMIT} * normal then height else 0.0 end as spike, coalesce(normal, 0.0) as normal
+  from s left join h on s.field = h.field and s.src = h.src and s.id = h.id left join normal on s.field = normal.field and s.src = normal.src where s.impossible or s.stuck or height > {LIMIT} * normal"""
+
+
+def _spike_sql(detail: bool = False) -> str:
+    """The definition in SQL: heights of all short runs by lags and leads, and the normal change as the least one, from the median of the changes on, that bears itself."""
     heights = []
     for length in range(1, SPIKE_RUN + 1):
         for place in range(1, length + 1):
@@ -73,13 +79,12 @@ s as (select *, count(*) over (partition by field, src, run) >= {STUCK_RUN} as s
 h as (select *, greatest({", ".join(heights)}) as height, lag(v) over w as pv, lag(k) over w as pk, lag(stuck) over w as ps from s where not impossible window w as (partition by field, src order by k)),
 c as (select field, src, abs(v - pv) as change, greatest(height, lag(height) over (partition by field, src order by k)) as over_ from h qualify pk = k - 1 and not stuck and not ps),
 g as (select field, src, over_, max(change) over (partition by field, src order by over_ range between unbounded preceding and current row) as most from c),
-q as (select field, src, quantile_disc(change, 0.9) as start from c group by 1, 2),
+q as (select field, src, coalesce(quantile_disc(change, 0.5) filter (change > 0), 0) as start from c group by 1, 2),
 m as (select c.field, c.src, c.change from c join q on c.field = q.field and c.src = q.src and c.change >= q.start),
 b as (select m.field, m.src, m.change, g.most from (select distinct *, {LIMIT} * change as reach from m) m asof join (select distinct * from g) g on m.field = g.field and m.src = g.src and m.reach >= g.over_),
 normal as (select field, src, min(change) as normal from b where most <= change group by 1, 2)
-select field, id as reading_id from s where impossible or stuck
-union select h.field, h.id from h join normal on h.field = normal.field and h.src = normal.src where height > {LIMIT} * normal"""
+{_REASONS if detail else _CASES}"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": _spike_sql(), "p4_found": _NEAR_SQL}
+    return {"p3_found": _spike_sql(), "p3_readings": _spike_sql(True), "p4_found": _NEAR_SQL}

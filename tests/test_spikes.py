@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from geostrata.operators import spikes
 from geostrata.operators.spikes import LIMIT, excursions, judge, run_lengths
 
 LIMITS = {"z": (-500.0, 9000.0)}
@@ -59,7 +60,7 @@ def test_blocks_leave_no_trace(spark, block_rows):
         if not 990 < i < 1040:
             z[i : i + rng.integers(1, 6)] += 30 + rng.random() * 50
     z[1000:1030] = z[1000]
-    got = judged(spark, series(z), block_rows=block_rows)
+    got = judged(spark, series(z), block_rows=block_rows, halo_rows=200)
     height = excursions(z)
     change = np.abs(np.diff(z))
     stuck = run_lengths(z) >= 8
@@ -102,7 +103,7 @@ def test_one_bad_block(spark):
     z = np.cumsum(rng.normal(0, 0.2, 4000))
     at = np.r_[np.arange(1500, 2000, 13), 300, 3300]
     z[at] += 40
-    assert {g[0] for g in judged(spark, series(z), block_rows=500) if g[3]} == set(at.tolist())
+    assert {g[0] for g in judged(spark, series(z), block_rows=500, halo_rows=200) if g[3]} == set(at.tolist())
 
 
 def test_coarse_readings_have_a_scale(spark):
@@ -111,3 +112,55 @@ def test_coarse_readings_have_a_scale(spark):
     z[rng.choice(np.arange(10, 1990), 200, replace=False)] += 0.1
     z[1000] = 90.0
     assert {g[0] for g in judged(spark, series(z)) if g[3]} == {1000}
+
+
+@pytest.mark.parametrize("n", range(8, 21))
+def test_short_sources(spark, n):
+    z = [10 + 0.1 * (i % 2) for i in range(n)]
+    z[n // 2] += 50
+    assert {g[0] for g in judged(spark, series(z)) if g[3]} == {n // 2}
+
+
+def test_sixty_six_spikes_in_a_thousand(spark):
+    rng = np.random.default_rng(9)
+    z = np.cumsum(rng.normal(0, 0.1, 1000))
+    at = np.arange(10, 1000, 15)
+    z[at] += 50
+    assert len(at) == 66 and {g[0] for g in judged(spark, series(z)) if g[3]} == set(at.tolist())
+
+
+@pytest.mark.parametrize("block_rows", [300, 1000, 2000, 10**9])
+def test_blocks_of_unlike_disturbance(spark, block_rows):
+    """129 spikes in the second half of a source: 13 % of the changes there, none before."""
+    rng = np.random.default_rng(10)
+    z = np.cumsum(rng.normal(0, 0.1, 4000))
+    at = 2000 + np.arange(129) * 15 + 7
+    z[at] += (30 + rng.random(129) * 30) * rng.choice([-1, 1], 129)
+    assert {g[0] for g in judged(spark, series(z), block_rows=block_rows, halo_rows=100) if g[3]} == set(at.tolist())
+
+
+def test_what_blocks_say_is_merged_without_loss():
+    rng = np.random.default_rng(11)
+    z = np.cumsum(rng.normal(0, 0.1, 9000))
+    z[rng.choice(8000, 300, replace=False) + 500] += 40
+    whole = spikes.judge_block(z, np.ones(len(z), bool), -500, 9000)[4]
+    parts = []
+    for begin in range(0, 9000, 1000):
+        low, high = max(0, begin - 300), min(9000, begin + 1300)
+        at = np.arange(low, high)
+        parts += spikes.judge_block(z[low:high], (at >= begin) & (at < begin + 1000), -500, 9000)[4]
+    flat = lambda said: [np.concatenate(c) for c in zip(*[(np.full(len(a), k), a, b) for k, a, b in said], strict=True)]
+    one, many = spikes.merge_said(*flat(whole)), spikes.merge_said(*flat(parts))
+    assert all(k == q and np.array_equal(a, c) and np.array_equal(b, d) for (k, a, b), (q, c, d) in zip(one, many, strict=True))
+
+
+def test_the_chart_decides(spark, monkeypatch):
+    """Without what the chart says no spike is found, and one that suspects nothing leaves the spikes among the normal changes."""
+    rng = np.random.default_rng(12)
+    z = np.cumsum(rng.normal(0, 0.2, 300))
+    z[100] += 40
+    field = np.ones(300, bool)
+    found = spikes.judge_block(z, field, -500, 9000)
+    assert list(np.nonzero(found[3] > 20)[0]) == [100]
+    monkeypatch.setattr(spikes, "control_chart", lambda changes: (np.zeros(len(changes)), np.zeros(len(changes), bool)))
+    assert not (spikes.judge_block(z, field, -500, 9000)[3] > 0).any()
