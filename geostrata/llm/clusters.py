@@ -1,15 +1,18 @@
 """Clusters of mutually similar points, by power-iteration spectral clustering over sparse affinities.
 
 Two points are linked if they are within a radius. The affinity of a link falls with the distance. The affinities of a
-block of points (a leaf of k-d splits with a halo as wide as the radius) are normalised by row, several vectors whose
-starting values come from a hash of the ids are iterated by them, and the embedding that the vectors give is clustered
-by k-means, in which a point may join only the clusters of the points that it has affinity to: all others are infinitely
-far. The clusters become the points of a smaller graph with the summed affinities, and the same step is taken again,
-until no affinity is left between two clusters. So a cluster at the end is a set of points joined by chains of links,
-whatever its shape: the eigenvectors of eigenvalue 1, that the iteration converges to, are constant exactly there.
-
-Clusters that reach over the edge of a leaf go on as single points of the next graph, whose blocks are eight sibling
-leaves each, up to the root of the splits.
+block of points (a leaf of k-d splits with a halo as wide as the radius) are normalised, and several vectors, whose
+starting values come from a hash of the ids, are iterated by them until they differ by no more than TOLERANCE over any
+link: plain steps first, then steps combined by conjugate gradients, so that a long thin cluster takes steps by its
+length and not by its square. What a vector converges to is constant on each set of points joined by chains of links
+and differs between them, and k-means over the values of all vectors finds these sets. Nothing else joins two points:
+links say only whether the vectors have converged.
+
+Two sets that are not linked are told apart as long as their values differ by more than APART in one of the vectors;
+that they don't has a chance like that of equal 64-bit hashes.
+
+Clusters that reach over the edge of a leaf go on as single points of the next graph, with the summed affinities between
+them, whose blocks are eight sibling leaves each, up to the root of the splits.
 """
 
 from __future__ import annotations
@@ -22,23 +25,27 @@ from pyspark.sql import functions as F
 from ..operators import kdsplit
 from ..session import cut
 
-VECTORS = 3
-STEPS = 12
-LLOYD = 2
-#: A link counts in a round if its affinity is at least this share of the greatest of its end.
-STRONG = 0.25
+VECTORS = 4
+#: Plain steps of the power iteration, before steps are combined.
+STEPS = 8
+#: Combined steps before converged clusters are taken out; each time there are twice as many.
+FIRST_STEPS = 48
+#: How much converged vectors may differ over a link.
+TOLERANCE = 1e-8
+#: Values further apart than this belong to different clusters.
+APART = 1e-6
 #: Levels of the splits that are joined at once.
 LEVELS = 3
 
 
 def start_vectors(ids: np.ndarray, vectors: int = VECTORS) -> np.ndarray:
-    """Values in [0, 1) of each id, the same wherever the id turns up."""
-    out = np.empty((len(ids), vectors))
+    """Vectors of values in [0, 1) of each id, the same wherever the id turns up."""
+    out = np.empty((vectors, len(ids)))
     for k in range(vectors):
         h = ids.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % 2**64)
         h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        out[:, k] = ((h ^ (h >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / 2.0**53
+        out[k] = ((h ^ (h >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / 2.0**53
     return out
 
 
@@ -48,70 +55,88 @@ def _both_ways(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> tuple[np.
     return code // n, code % n, np.bincount(at, np.concatenate([w, w]), len(code))
 
 
-def _segment(values: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
-    return np.column_stack([np.bincount(ends, values[:, k], n) for k in range(values.shape[1])])
-
-
-def power_step(n: int, i: np.ndarray, j: np.ndarray, w: np.ndarray, size: np.ndarray, ids: np.ndarray, steps: int = STEPS, lloyd: int = LLOYD) -> np.ndarray:
-    """One round: a cluster number of each of n points."""
-    degree = np.bincount(i, w, n)
-    stay = degree / 2 + 1e-300  # affinity to itself, against vectors that swing
-    vectors = start_vectors(ids)
-    for _ in range(steps):
-        vectors = (_segment(vectors[j] * w[:, None], i, n) + vectors * stay[:, None]) / (degree + stay)[:, None]
-    # seeds: each point follows the best of its strong neighbours, best by affinity and then by smaller number, up to a peak.
-    # The strongest link of all is strong for both its ends, so each round joins something wherever there is a link.
-    most = np.zeros(n)
-    np.maximum.at(most, i, w)
-    strong = w >= STRONG * most[i]
-    i, j = i[strong], j[strong]
-    rank = np.empty(n, np.int64)
-    rank[np.lexsort((np.arange(n), -degree))] = np.arange(n)
-    best = np.arange(n)
-    order = np.lexsort((rank[j], i))
-    first = order[np.r_[True, i[order][1:] != i[order][:-1]]] if len(order) else order
-    better = first[rank[j[first]] < rank[i[first]]]
-    best[i[better]] = j[better]
-    while not (best[best] == best).all():
-        best = best[best]
-    label = best
-    for _ in range(lloyd):
-        weight = np.bincount(label, size, n)
-        centre = _segment(vectors * size[:, None], label, n) / np.maximum(weight, 1e-300)[:, None]
-        of, candidate = np.concatenate([np.arange(n), i]), np.concatenate([label, label[j]])
-        far = ((vectors[of] - centre[candidate]) ** 2).sum(1)
-        order = np.lexsort((candidate, far, of))
-        label = candidate[order[np.r_[True, of[order][1:] != of[order][:-1]]]]
-    still = np.bincount(label[i][label[i] == label[j]], minlength=n) == 0  # a cluster that no link holds inside joins its neighbours
-    lone = still[label] & (degree > 0)
-    label = np.where(lone, best[label], label)
-    return np.unique(label, return_inverse=True)[1]
-
-
-def spectral_clusters(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Cluster number of each of n points: rounds of power_step, until no affinity is left between clusters."""
-    label = np.arange(n)
-    held, size = ids, np.ones(n)
-    linked = np.unique(np.concatenate([a, b]))
-    # points without links are clusters of their own from the start
+def iterate(i: np.ndarray, j: np.ndarray, w: np.ndarray, vectors: np.ndarray, combined: int, plain: int = STEPS) -> np.ndarray:
+    """vectors (k x n) after so many steps of the normalised affinities.
+
+    Links are in both directions and sorted by i, and every point has one. A plain step moves the vectors half way to the
+    means of their neighbours; conjugate gradients combine further steps to the least error.
+    """
+    starts = np.searchsorted(i, np.arange(vectors.shape[1]))
+    root = np.sqrt(np.add.reduceat(w, starts))
+    share = w / (root[i] * root[j])
+    drop = lambda rows: np.stack([v - np.add.reduceat(v[j] * share, starts) for v in rows])
+    held = vectors * root
+    for _ in range(plain):
+        held = held - drop(held) / 2
+    rest = way = drop(held)
+    size = (rest * rest).sum(1)
+    for _ in range(combined):
+        step = drop(way)
+        bend = (way * step).sum(1)
+        pace = np.divide(size, bend, out=np.zeros_like(size), where=bend > 0)[:, None]
+        held, rest = held + -pace * way, rest - pace * step
+        before, size = size, (rest * rest).sum(1)
+        way = rest + way * np.divide(size, before, out=np.zeros_like(size), where=before > 0)[:, None]
+        if size.max(initial=0.0) < 1e-28:
+            break
+    return held / root
+
+
+def kmeans(values: np.ndarray, apart: float = APART) -> np.ndarray:
+    """Cluster number of each point (a column of values). The first clusters are what gaps wider than apart leave of each row of values in turn; then each point goes to the nearest centre until none moves."""
+    n = values.shape[1]
+    label = np.zeros(n, np.int64)
+    for row in values:
+        order = np.lexsort((row, label))
+        new = (np.diff(label[order]) != 0) | (np.diff(row[order]) > apart)
+        label[order] = np.cumsum(np.r_[0, new])
+    for _ in range(100):
+        label = np.unique(label, return_inverse=True)[1]
+        k = int(label.max()) + 1
+        size = np.bincount(label, minlength=k)
+        centre = np.stack([np.bincount(label, row, k) / size for row in values])
+        # the centres that lie next to a point in the first row, and its own
+        order = np.argsort(centre[0], kind="stable")
+        at = np.searchsorted(centre[0, order], values[0])
+        near = np.stack([label, *(order[np.clip(at + step, 0, k - 1)] for step in (-2, -1, 0, 1))])
+        far = ((values[:, None, :] - centre[:, near]) ** 2).sum(0)
+        moved = near[np.argmin(far, axis=0), np.arange(n)]
+        if (moved == label).all():
+            break
+        label = moved
+    return label
+
+
+def spectral_clusters(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, ids: np.ndarray, combined: int = FIRST_STEPS) -> np.ndarray:
+    """Cluster number of each of n points: k-means over the converged vectors. A point without links is a cluster of its own.
+
+    A cluster is done when its vectors have converged over all of its links and no link leaves it. The others go on
+    with twice as many steps; without progress in twice the steps that any graph of their size needs it is an error.
+    """
+    out = np.arange(n)
+    points = np.unique(np.concatenate([a, b]))
     number = np.full(n, -1)
-    number[linked] = np.arange(len(linked))
-    a, b, held, size, m = number[a], number[b], held[linked], size[linked], len(linked)
-    inner = np.arange(m)
-    while len(a):
-        i, j, both = _both_ways(m, a, b, w)
-        step = power_step(m, i, j, both, size, held)
-        count = int(step.max()) + 1  # at most the number of peaks, so less than m
-        inner = step[inner]
-        smallest = np.full(count, np.iinfo(np.int64).max)
-        np.minimum.at(smallest, step, held)
-        size, held, m = np.bincount(step, size, count), smallest, count
-        once = i < j
-        a, b, w = step[i[once]], step[j[once]], both[once]
-        apart = a != b
-        a, b, w = a[apart], b[apart], w[apart]
-    label[linked] = n + inner
-    return np.unique(label, return_inverse=True)[1]
+    number[points] = np.arange(len(points))
+    i, j, w = _both_ways(len(points), number[a], number[b], w)
+    vectors = start_vectors(ids[points])
+    done = n
+    while len(points):
+        vectors = iterate(i, j, w, vectors, combined)
+        label = kmeans(vectors)
+        off = (label[i] != label[j]) | (np.abs(vectors[:, i] - vectors[:, j]).max(0) > TOLERANCE)
+        open_ = np.zeros(int(label.max()) + 1, bool)
+        open_[label[i[off]]] = True
+        open_[label[j[off]]] = True
+        left = open_[label]
+        out[points[~left]] = done + label[~left]
+        done += len(open_)
+        if left.all() and combined > 20 * len(points) + 1000:
+            raise RuntimeError("the vectors have not converged")
+        kept, number = left[i], np.cumsum(left) - 1
+        i, j, w = number[i[kept]], number[j[kept]], w[kept]
+        points, vectors = points[left], vectors[:, left]
+        combined *= 2
+    return np.unique(out, return_inverse=True)[1]
 
 
 def _name(label: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -158,30 +183,27 @@ def cluster(points: DataFrame, key: str, columns: list[str], radius2: float, lea
         w = np.exp(-2 * (step * step).sum(1) / radius2)
         m = len(place)
         near = np.bincount(i, w * copies[j], m) + np.bincount(j, w * copies[i], m) + copies - 1
-        # first is the smallest id of its place, for ids are sorted; its copies follow it
-        follow = np.nonzero(first[at_place] != np.arange(len(ids)))[0]
-        a, b = np.concatenate([first[i], first[at_place[follow]]]), np.concatenate([first[j], follow])
-        w = np.concatenate([w * copies[i] * copies[j], np.ones(len(follow))])
-        n = len(ids)
         affinity = near[at_place]
-        inner = own[a] & own[b]
-        label = spectral_clusters(n, a[inner], b[inner], w[inner], ids)
+        place_ids, own_place = ids[first], own[first]  # first is the smallest id of its place, for ids are sorted; copies of a place are all in one leaf
+        inner = own_place[i] & own_place[j]
+        of_place = spectral_clusters(m, i[inner], j[inner], w[inner], place_ids)
+        label = of_place[at_place]
         name = _name(label, ids)
         size = np.bincount(label)[label]
         # links over the edge, seen from this leaf's side
-        out, into = np.where(own[a], a, b), np.where(own[a], b, a)
-        over = own[a] != own[b]  # copies of a place are all in one leaf, so each side sees the same first ids
+        out, into = np.where(own_place[i], i, j), np.where(own_place[i], j, i)
+        over = own_place[i] != own_place[j]
         out, into, w = out[over], into[over], w[over]
         crossing = np.zeros(int(label.max()) + 1, bool)
-        crossing[label[out]] = True
+        crossing[of_place[out]] = True
         kept = np.nonzero(own & ((size >= least) | crossing[label] | (not single)))[0]
-        border = np.zeros(n, bool)
-        border[out] = True
+        border = np.zeros(len(ids), bool)
+        border[first[out]] = True
         leaf = held.column("leaf")[0].as_py()
         k, m = len(kept), len(out)
         pad = np.arange(k + m) >= k
         return pa.table({
-            "id": np.concatenate([ids[kept], ids[into]]), "name": np.concatenate([name[kept], name[out]]), "leaf": np.full(k + m, leaf),
+            "id": np.concatenate([ids[kept], place_ids[into]]), "name": np.concatenate([name[kept], name[first[out]]]), "leaf": np.full(k + m, leaf),
             "affinity": np.concatenate([affinity[kept], w]), "link": pad, "border": np.concatenate([border[kept], np.zeros(m, bool)]),
         })
 

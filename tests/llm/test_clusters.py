@@ -42,31 +42,58 @@ def test_clusters_are_the_chains_of_links(spark, leaf_rows):
     assert all(abs(r["affinity"] - by_id[r["id"]]) < 1e-9 for r in got)
 
 
-def test_rounds_join_whatever_shape():
+def linked_sets(n, a, b):
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, a, label[b])
+        np.minimum.at(new, b, label[a])
+        if (new == label).all():
+            return label
+        label = new
+
+
+def same_sets(got, want):
+    return len(np.unique(np.column_stack([got, want]), axis=0)) == len(np.unique(got)) == len(np.unique(want))
+
+
+def graphs():
     rng = np.random.default_rng(7)
-    for n, links in ((1, 0), (2, 1), (300, 299), (3000, 2600)):
+    for n, links in ((1, 0), (2, 1), (300, 299), (3000, 2600), (900, 4000)):
         a, b = (np.arange(n - 1), np.arange(1, n)) if n == 300 else (rng.integers(0, n, links), rng.integers(0, n, links))
         a, b = a[a != b], b[a != b]
-        label = np.arange(n)
-        for _ in range(n):
-            new = label.copy()
-            np.minimum.at(new, a, label[b])
-            np.minimum.at(new, b, label[a])
-            if (new == label).all():
-                break
-            label = new
-        got = clusters.spectral_clusters(n, a, b, rng.random(len(a)) + 0.1, np.arange(n))
-        assert len(np.unique(np.column_stack([got, label]), axis=0)) == len(np.unique(got)) == len(np.unique(label))
-
-
-def test_one_round_separates_dense_groups():
+        yield n, a, b, rng.random(len(a)) + 0.1
+
+
+def test_clusters_of_whatever_shape():
+    for n, a, b, w in graphs():
+        assert same_sets(clusters.spectral_clusters(n, a, b, w, np.arange(n)), linked_sets(n, a, b))
+
+
+def test_weights_of_very_different_size():
     rng = np.random.default_rng(8)
-    a, b = np.triu_indices(20, 1)
-    links = np.concatenate([a, a + 20, [5]]), np.concatenate([b, b + 20, [25]])
-    w = np.r_[np.ones(2 * len(a)), 0.01]
-    i, j, both = clusters._both_ways(40, links[0], links[1], w)
-    label = clusters.power_step(40, i, j, both, np.ones(40), rng.permutation(40))
-    assert len(set(label[:20])) == 1 and len(set(label[20:])) == 1 and label[0] != label[39]
+    n, a, b, w = next(g for g in graphs() if g[0] == 3000)
+    assert same_sets(clusters.spectral_clusters(n, a, b, 10 ** (rng.random(len(a)) * 6), np.arange(n)), linked_sets(n, a, b))
+
+
+@pytest.mark.parametrize("ablation", ["zero vectors", "no steps"])
+def test_the_embedding_decides(monkeypatch, ablation):
+    """Without start values all linked points look alike; without steps none do, which is an error."""
+    n, a, b, w = next(g for g in graphs() if g[0] == 3000)
+    if ablation == "zero vectors":
+        monkeypatch.setattr(clusters, "start_vectors", lambda ids: np.zeros((4, len(ids))))
+        assert not same_sets(clusters.spectral_clusters(n, a, b, w, np.arange(n)), linked_sets(n, a, b))
+    else:
+        monkeypatch.setattr(clusters, "iterate", lambda i, j, w, vectors, combined: vectors)
+        with pytest.raises(RuntimeError):
+            clusters.spectral_clusters(n, a, b, w, np.arange(n))
+
+
+def test_kmeans_finds_the_values_of_the_vectors():
+    rng = np.random.default_rng(9)
+    centre = rng.random((4, 500))
+    of = rng.integers(0, 500, 4000)
+    assert same_sets(clusters.kmeans(centre[:, of] + rng.normal(0, 1e-9, (4, 4000))), of)
 
 
 def test_dirty_rows(spark):
