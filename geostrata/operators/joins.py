@@ -83,31 +83,55 @@ def tile_files(tiles: DataFrame, files: DataFrame, buffer: float, size: float) -
     return t.join(f, ["_tx", "_ty"]).where(meet).select("tile_id", "file_id").distinct()
 
 
-def _search_block(tree: tuple, ids: np.ndarray, query: np.ndarray, k: int | None, radius2: float, visits: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _ragged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which, row) of the rows of each range [begin, end)."""
+    sizes = end - begin
+    which = np.repeat(np.arange(len(begin)), sizes)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes - begin, sizes)
+
+
+def _search_block(tree: tuple, ids: np.ndarray, targets: np.ndarray, k: int | None, radius2: float, visits: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(target, row, d2): the k nearest rows of each target within radius2, all targets at once.
+
+    The boxes nearest to a target hold k rows; the k-th of them bounds the distance, and all boxes within the bound are
+    looked at. With visits only so many of the nearest boxes are that hold about that many rows.
+    """
     points, low, high, bound = tree
-    gap = np.maximum(0, np.maximum(low - query, query - high))
-    lower = (gap * gap).sum(1)
-    order = np.argsort(lower, kind="stable")
-    found_i, found_d = np.zeros(0, np.int64), np.zeros(0)
-    limit = radius2
-    step = 8
-    at = 0
-    seen = 0
-    while at < len(order) and lower[order[at]] <= limit and (visits is None or seen < visits):
-        some = order[at : at + step]
-        rows = np.concatenate([np.arange(bound[s], bound[s + 1]) for s in some])
-        seen += len(rows)
-        d2 = ((points[rows] - query) ** 2).sum(1)
-        near = d2 <= limit
-        found_i, found_d = np.concatenate([found_i, rows[near]]), np.concatenate([found_d, d2[near]])
-        if k is not None and len(found_d) >= k:
-            best = np.lexsort((ids[found_i], found_d))[:k]
-            found_i, found_d = found_i[best], found_d[best]
-            limit = min(limit, found_d[-1])
-        at += step
-        step *= 2
-    best = np.lexsort((ids[found_i], found_d))
-    return found_i[best], found_d[best]
+    sizes = np.diff(bound)
+    boxes = len(sizes)
+    gap2 = np.zeros((len(targets), boxes))
+    for axis in range(points.shape[1]):
+        gap = np.maximum(0, np.maximum(low[None, :, axis] - targets[:, None, axis], targets[:, None, axis] - high[None, :, axis]))
+        gap2 += gap * gap
+    most = np.full(len(targets), radius2)
+    few = boxes if k is None else min(boxes, 2 + 2 * k // max(1, int(sizes.min())))
+    seen = boxes if visits is None else min(boxes, max(1, -(-visits // max(1, int(sizes.max())))))
+
+    def distances(target: np.ndarray, box: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        which, row = _ragged(bound[box], bound[box + 1])
+        step = points[row] - targets[target[which]]
+        return target[which], row, (step * step).sum(1)
+
+    if k is not None and few < boxes:
+        nearest = np.argpartition(gap2, few - 1, axis=1)[:, :few]
+        target, row, d2 = distances(np.repeat(np.arange(len(targets)), few), nearest.reshape(-1))
+        order = np.lexsort((d2, target))
+        first = np.searchsorted(target[order], np.arange(len(targets)))
+        count = np.diff(np.r_[first, len(target)])
+        there = count >= k
+        most[there] = np.minimum(most[there], d2[order][first[there] + k - 1])
+    open_ = gap2 <= most[:, None]
+    if seen < boxes:
+        open_ &= np.argsort(np.argsort(gap2, axis=1, kind="stable"), axis=1) < seen
+    target, row, d2 = distances(*np.nonzero(open_))
+    near = d2 <= most[target]
+    target, row, d2 = target[near], row[near], d2[near]
+    order = np.lexsort((ids[row], d2, target))
+    target, row, d2 = target[order], row[order], d2[order]
+    if k is not None:
+        rank = np.arange(len(target)) - np.searchsorted(target, target)
+        target, row, d2 = target[rank < k], row[rank < k], d2[rank < k]
+    return target, row, d2
 
 
 def knn(queries: DataFrame, query_key: str, points: DataFrame, key: str, columns: list[str], k: int | None, radius: float | None = None, leaf_rows: int = kdsplit.LEAF_ROWS, visits: int | None = None) -> DataFrame:
@@ -118,8 +142,9 @@ def knn(queries: DataFrame, query_key: str, points: DataFrame, key: str, columns
     any allowed error; the standard, the priority and the fixed-radius search are this search with k, radius or both.
 
     Points are cut into leaves by k-d splits; a query goes to the leaves that the distance of its k-th neighbour in the
-    sample (an upper bound), or the radius, reaches. With visits a query looks at about so many points of a leaf at most,
-    from the nearest boxes on; the result is then approximate.
+    sample (an upper bound), or the radius, reaches. Of the points at a hot place (see kdsplit) only the k smallest keys
+    can be neighbours, and only they are searched; without k one of them is, and its members come in by a join. With
+    visits a query looks at about so many points of a leaf at most, from the nearest boxes on; the result is then approximate.
     """
     if k is None and radius is None:
         raise ValueError("k or a radius")
@@ -131,10 +156,13 @@ def knn(queries: DataFrame, query_key: str, points: DataFrame, key: str, columns
 
     held, asked = places(points, key), places(queries, query_key)
     rows, sample = kdsplit.bounded_sample(held, "id", names)
-    splits = kdsplit.fit_splits(sample, rows, leaf_rows)
-    home = splits.locate(sample) if len(sample) else np.zeros(0, np.int64)
-    order = np.argsort(home, kind="stable")
-    grouped, begins = sample[order], np.searchsorted(home[order], np.arange(splits.leaves + 1))
+    splits = kdsplit.fit_splits(sample, rows, leaf_rows, held, "id", names)
+    held, members = kdsplit.split_hot(held, "id", names, kdsplit.hot_positions(sample))
+    if members is not None and k is not None:
+        few = members.withColumn("_n", F.row_number().over(Window.partitionBy("_rep").orderBy("id"))).where(F.col("_n") <= k).where("id <> _rep")
+        at = held.join(F.broadcast(few.select("_rep", F.col("id").alias("_id"))), F.col("id") == F.col("_rep"))
+        held = held.unionByName(at.select(F.col("_id").alias("id"), *names))
+    bound = None if k is None else kdsplit.SampleReach(sample, splits, k)
     fixed = math.inf if radius is None else radius
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,15 +170,7 @@ def knn(queries: DataFrame, query_key: str, points: DataFrame, key: str, columns
             if not batch.num_rows:
                 continue
             at = np.column_stack([batch.column(1 + i).to_numpy(zero_copy_only=False) for i in range(len(names))])
-            reach = np.full(len(at), fixed)
-            leaf = splits.locate(at)
-            for one in np.unique(leaf) if k is not None else ():
-                near = grouped[begins[one] : begins[one + 1]]
-                mine = np.nonzero(leaf == one)[0]
-                for begin in range(0, len(mine) if len(near) >= k else 0, 256):
-                    some = mine[begin : begin + 256]
-                    d2 = ((at[some, None, :] - near[None, :, :]) ** 2).sum(2)
-                    reach[some] = np.minimum(fixed, np.sqrt(np.partition(d2, k - 1, axis=1)[:, k - 1]) * (1 + 1e-9) + 1e-9)
+            reach = np.full(len(at), fixed) if bound is None else np.minimum(fixed, np.sqrt(bound(at)) * (1 + 1e-9) + 1e-9)
             row, to = splits.touching(at - reach[:, None], at + reach[:, None])
             yield pa.RecordBatch.from_arrays([pa.array(to), batch.column(0).take(pa.array(row))] + [pa.array(np.ascontiguousarray(at[row, i])) for i in range(len(names))], names=["leaf", "id", *names])
 
@@ -161,19 +181,23 @@ def knn(queries: DataFrame, query_key: str, points: DataFrame, key: str, columns
         if len(entries) and len(asks):
             ids, first = np.unique(entries.column("id").to_numpy(), return_index=True)
             at = np.column_stack([entries.column(n).to_numpy()[first] for n in names])
-            o, boxes, bound = kdsplit.build_tree(at, 16)
-            tree, ids = (at[o], *boxes[-1], bound), ids[o]
+            o, boxes, bounds_ = kdsplit.build_tree(at, 16)
+            tree, ids = (at[o], *boxes[-1], bounds_), ids[o]
             query_ids, first = np.unique(asks.column("id").to_numpy(), return_index=True)
             targets = np.column_stack([asks.column(n).to_numpy()[first] for n in names])
-            for q, target in zip(query_ids, targets, strict=True):
-                found, d2 = _search_block(tree, ids, target, k, fixed * fixed, visits)
-                out.append((np.full(len(found), q), ids[found], d2))
+            for begin in range(0, len(targets), 200):
+                target, row, d2 = _search_block(tree, ids, targets[begin : begin + 200], k, fixed * fixed, visits)
+                out.append((query_ids[begin + target], ids[row], d2))
         join = lambda i, kind: np.concatenate([o[i] for o in out]) if out else np.zeros(0, kind)
         return pa.table({"query_id": join(0, np.int64), "id": join(1, np.int64), "d2": join(2, float)})
 
     routed = kdsplit.route(held, "id", names, splits, 0.0).where("own")
     sent = asked.mapInArrow(send, f"leaf long, id long, {schema}")
     found = routed.groupBy("leaf").cogroup(sent.groupBy("leaf")).applyInArrow(in_leaf, "query_id long, id long, d2 double")
+    if members is not None and k is None:
+        found = found.join(F.broadcast(members.select("_rep").distinct()), F.col("id") == F.col("_rep"), "left")
+        others = found.where("_rep is not null").drop("id").join(members, "_rep").where("id <> _rep")
+        found = found.select("query_id", "id", "d2").unionByName(others.select("query_id", "id", "d2"))
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("d2", "id")))
     return ranked if k is None else ranked.where(F.col("rank") <= k)
 
@@ -184,11 +208,78 @@ def range_count(queries: DataFrame, query_key: str, points: DataFrame, key: str,
     return queries.select(F.col(query_key).cast("long").alias("query_id")).join(found, "query_id", "left").fillna({"n": 0})
 
 
-def embedding_knn(queries: DataFrame, points: DataFrame, key: str, vector: str, k: int, dims: int) -> DataFrame:
-    """knn of array columns of dims numbers."""
-    names = [f"_d{i}" for i in range(dims)]
-    wide = lambda df: df.select(key, *[F.col(vector)[i].cast("double").alias(n) for i, n in enumerate(names)])
-    return knn(wide(queries), key, wide(points), key, names, k)
+#: Vectors of the sample that the axes of an embedding search are fitted to, and the number of axes.
+AXES_ROWS, AXES = 20_000, 8
+
+
+def embedding_knn(queries: DataFrame, points: DataFrame, key: str, vector: str, k: int, dims: int, error: float = 0.0, leaf_rows: int = kdsplit.LEAF_ROWS) -> DataFrame:
+    """(query_id, id, d2, rank): the k nearest vectors of each query, ties by id; vectors are array columns of dims numbers.
+
+    Vectors are laid on the AXES main axes of a bounded sample. That never lengthens a distance, so leaves of k-d splits
+    there are left out safely: a query goes to the leaves that the distance of its k-th neighbour in the sample reaches,
+    divided by 1 + error. With an error of 0 the result is exact; with more, a neighbour that is left out is at most so
+    much nearer than one in its place. In a leaf the queries meet all vectors as a product of matrices, by blocks. A null
+    vector, one of another length, or with a number that is null or not finite takes no part.
+    """
+    some = lambda df: df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    sound = F.col("id").isNotNull() & (F.size("v") == dims) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    held, asked = some(points).where(sound), some(queries).where(sound)
+    rows = held.count()
+    chosen = held if rows <= AXES_ROWS else held.where(F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(1 << 30)) < int((1 << 30) * AXES_ROWS / rows))
+
+    def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+        flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), dims)
+
+    got = chosen.toArrow()
+    sample = matrix(got.column("v"))[np.unique(got.column("id").to_numpy(), return_index=True)[1]]
+    middle = sample.mean(0) if len(sample) else np.zeros(dims)
+    axes = np.linalg.eigh((sample - middle).T @ (sample - middle))[1][:, ::-1][:, : min(AXES, dims)] if len(sample) else np.eye(dims)[:, : min(AXES, dims)]
+    to_axes = lambda v: (v - middle) @ axes
+    splits = kdsplit.fit_splits(to_axes(sample), rows, leaf_rows)
+    bound = kdsplit.SampleReach(to_axes(sample), splits, k, sample)
+
+    def send(batches: Iterator[pa.RecordBatch], far: bool) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v = matrix(batch.column(1))
+            at = to_axes(v)
+            if far:
+                reach = np.sqrt(bound(at, v)) / (1 + error) * (1 + 1e-9) + 1e-9
+                row, to = splits.touching(at - reach[:, None], at + reach[:, None])
+            else:
+                row, to = np.arange(len(at)), splits.locate(at)
+            row = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(to), batch.column(0).take(row), batch.column(1).take(row)], names=["leaf", "id", "v"])
+
+    def in_leaf(entries: pa.Table, asks: pa.Table) -> pa.Table:
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        if len(entries) and len(asks):
+            ids, first = np.unique(entries.column("id").to_numpy(), return_index=True)
+            at = matrix(entries.column("v"))[first]
+            query_ids, first = np.unique(asks.column("id").to_numpy(), return_index=True)
+            targets = matrix(asks.column("v"))[first]
+            size = (at * at).sum(1)
+            for begin in range(0, len(targets), 64):
+                t = targets[begin : begin + 64]
+                rough = size[None, :] - 2 * t @ at.T + (t * t).sum(1)[:, None]
+                most = np.partition(rough, min(k, len(at)) - 1, axis=1)[:, min(k, len(at)) - 1]
+                # the product is rounded: what may be among the nearest is measured again
+                target, row = np.nonzero(rough <= (most + 1e-9 * (1 + size.max() + (t * t).sum(1)))[:, None])
+                step = at[row] - t[target]
+                d2 = (step * step).sum(1)
+                order = np.lexsort((ids[row], d2, target))
+                target, row, d2 = target[order], row[order], d2[order]
+                kept = np.arange(len(target)) - np.searchsorted(target, target) < k
+                out.append((query_ids[begin + target[kept]], ids[row[kept]], d2[kept]))
+        join = lambda i, kind: np.concatenate([o[i] for o in out]) if out else np.zeros(0, kind)
+        return pa.table({"query_id": join(0, np.int64), "id": join(1, np.int64), "d2": join(2, float)})
+
+    schema = "leaf long, id long, v array<double>"
+    routed, sent = held.mapInArrow(lambda b: send(b, False), schema), asked.mapInArrow(lambda b: send(b, True), schema)
+    found = routed.groupBy("leaf").cogroup(sent.groupBy("leaf")).applyInArrow(in_leaf, "query_id long, id long, d2 double")
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("d2", "id"))).where(F.col("rank") <= k)
 
 
 def as_of(left: DataFrame, right: DataFrame, by: list[str], time: str, values: list[str], forward: bool = False, chunk: float | None = None) -> DataFrame:

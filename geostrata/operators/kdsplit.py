@@ -1,13 +1,15 @@
 """k-d splits of a point set into leaves, with halo copies, and close pairs within a leaf.
 
-The splits are fitted to a bounded sample of the rows (SAMPLE_ROWS, chosen by a hash of the id), so that they are
-small enough to travel with a task. Every row is then routed to its leaf; leaves are numbered in tree order, so that
+The first splits are fitted to a bounded sample of the rows (SAMPLE_ROWS, chosen by a hash of the id). Where there must be
+more leaves than that sample can tell apart, the tasks of a grouped pass fit the splits below each of them to a sample of
+its own. There are at most 2^MOST_DEPTH leaves, so that the splits, nine bytes each, are small enough to travel with a
+task; beyond that leaves get larger. Every row is then routed to its leaf; leaves are numbered in tree order, so that
 leaf >> n is an ancestor's number.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,6 +21,11 @@ SAMPLE_ROWS = 100_000
 LEAF_ROWS = 50_000
 #: A position held by at least so many rows of the sample is split off before routing; at most SAMPLE_ROWS / HOT_ROWS positions can be.
 HOT_ROWS = 200
+#: Levels of splits that are fitted on the driver.
+TOP_DEPTH = 11
+MOST_DEPTH = 21
+#: Rows of the sample for each leaf, where tasks fit the splits.
+FIT_ROWS = 64
 _BUCKETS = 1 << 30
 
 
@@ -51,23 +58,94 @@ class KdSplits:
         return row, node - (self.leaves - 1)
 
 
-def fit_splits(sample: np.ndarray, rows: int, leaf_rows: int = LEAF_ROWS) -> KdSplits:
-    """Median splits on the axis of the widest spread (5 % to 95 %), deep enough for leaves of about leaf_rows of rows."""
-    depth = max(0, int(np.ceil(np.log2(max(rows, 1) / leaf_rows))))
+def _fit(sample: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Axes and values of median splits on the axis of the widest spread (5 % to 95 %)."""
     inner = (1 << depth) - 1
-    axis, value = np.zeros(inner, np.int64), np.zeros(inner)
+    axis, value = np.zeros(inner, np.int8), np.zeros(inner)
     parts = {0: sample}
     for node in range(inner):
         part = parts.pop(node, sample[:0])
         if len(part):
-            spread = np.quantile(part, 0.95, axis=0) - np.quantile(part, 0.05, axis=0)
-            axis[node] = int(np.argmax(spread))
-            value[node] = np.median(part[:, axis[node]])
+            ordered = np.sort(part, axis=0)
+            at = int(np.argmax(ordered[int(0.95 * (len(part) - 1))] - ordered[int(0.05 * (len(part) - 1))]))
+            axis[node] = at
+            value[node] = (ordered[(len(part) - 1) // 2, at] + ordered[len(part) // 2, at]) / 2
         below = part[:, axis[node]] < value[node]
         parts[2 * node + 1], parts[2 * node + 2] = part[below], part[~below]
+    return axis, value
+
+
+def fit_splits(sample: np.ndarray, rows: int, leaf_rows: int = LEAF_ROWS, points: DataFrame | None = None, key: str = "id", columns: list[str] | None = None, to_space: Callable[[np.ndarray], np.ndarray] | None = None) -> KdSplits:
+    """Splits deep enough for leaves of about leaf_rows of rows.
+
+    sample is in the space of the splits. With points, their key and columns (to_space maps them), splits below TOP_DEPTH
+    are fitted by tasks; what comes back is the splits alone.
+    """
+    depth = min(MOST_DEPTH, max(0, int(np.ceil(np.log2(max(rows, 1) / leaf_rows)))))
+    if depth <= TOP_DEPTH or points is None:
+        return KdSplits(*_fit(sample, depth), depth)
+    top = KdSplits(*_fit(sample, TOP_DEPTH), TOP_DEPTH)
+    below = depth - TOP_DEPTH
+
+    def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                at = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)])
+                at = to_space(at) if to_space else at
+                yield pa.RecordBatch.from_arrays([pa.array(top.locate(at)), *[pa.array(np.ascontiguousarray(at[:, i])) for i in range(dims)]], names=["leaf", *names])
+
+    def fit_below(held: pa.Table) -> pa.Table:
+        axis, value = _fit(np.column_stack([held.column(n).to_numpy() for n in names]), below)
+        return pa.table({"leaf": held.column("leaf").slice(0, 1), "axis": pa.array([axis.tobytes()], pa.binary()), "value": pa.array([value.tobytes()], pa.binary())})
+
+    dims = sample.shape[1]
+    names = [f"s{i}" for i in range(dims)]
+    some = points.where(F.pmod(F.xxhash64(F.lit(8), key), F.lit(_BUCKETS)) < int(_BUCKETS * min(1.0, FIT_ROWS * 2.0**depth / rows)))
+    located = some.select(*[F.col(c).cast("double") for c in columns]).mapInArrow(locate, "leaf long, " + ", ".join(f"{n} double" for n in names))
+    fitted = located.groupBy("leaf").applyInArrow(fit_below, "leaf long, axis binary, value binary").toArrow()
+    axis, value = np.zeros((1 << depth) - 1, np.int8), np.zeros((1 << depth) - 1)
+    axis[: len(top.axis)], value[: len(top.value)] = top.axis, top.value
+    node = np.arange((1 << below) - 1)
+    level = np.log2(node + 1).astype(np.int64)
+    for leaf, a, v in zip(*(fitted.column(n).to_pylist() for n in ("leaf", "axis", "value")), strict=True):
+        at = (1 << (TOP_DEPTH + level)) - 1 + leaf * (1 << level) + (node + 1 - (1 << level))
+        axis[at], value[at] = np.frombuffer(a, np.int8), np.frombuffer(v)
     return KdSplits(axis, value, depth)
 
 
+class SampleReach:
+    """Upper bounds on the distance of the k-th nearest of all rows from a place, by the sample alone.
+
+    The bound is the distance of the k-th nearest of the sample rows in the place's leaf or, where that has fewer than k,
+    in the smallest subtree around it that has so many. It is infinite only if the whole sample has fewer, or if there
+    is one leaf anyway. Distances are taken between the sample's vectors, its own places unless others are given.
+    """
+
+    def __init__(self, sample: np.ndarray, splits: KdSplits, k: int, vectors: np.ndarray | None = None):
+        home = splits.locate(sample) if len(sample) else np.zeros(0, np.int64)
+        order = np.argsort(home, kind="stable")
+        self.held, self.leaf, self.splits, self.k = (sample if vectors is None else vectors)[order], home[order], splits, k
+
+    def __call__(self, at: np.ndarray, vectors: np.ndarray | None = None, block: int = 256) -> np.ndarray:
+        """Squared bounds of places."""
+        vectors = at if vectors is None else vectors
+        reach2 = np.full(len(at), np.inf)
+        if not self.splits.depth or len(self.held) < self.k:
+            return reach2
+        leaf = self.splits.locate(at)
+        for one in np.unique(leaf):
+            for up in range(self.splits.depth + 1):
+                begin, end = np.searchsorted(self.leaf, [(one >> up) << up, ((one >> up) + 1) << up])
+                if end - begin >= self.k:
+                    break
+            near, mine = self.held[begin:end], np.nonzero(leaf == one)[0]
+            for first in range(0, len(mine), block):
+                some = mine[first : first + block]
+                step = vectors[some, None, :] - near[None, :, :]
+                reach2[some] = np.partition((step * step).sum(2), self.k - 1, axis=1)[:, self.k - 1]
+        return reach2
+
+
 def present(*columns: Column) -> Column:
     """Neither null nor NaN nor infinite."""
     kept = F.lit(True)

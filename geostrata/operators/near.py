@@ -15,11 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.wkt import bounds, parse_polygons, sweep_inside
+from ..session import cut
 from . import kdsplit
 
 EARTH_RADIUS = 6_371_008.8
 #: Rounding of unit vectors, as a chord.
 _SLACK = 4e-15
+#: Members of a hot place that are expanded at a time.
+HOT_BLOCK = 1000
 
 
 @dataclass(frozen=True)
@@ -71,7 +74,7 @@ def near(points: DataFrame, key: str, x: str, y: str, radius2: float, zones: Dat
     rows, sample = kdsplit.bounded_sample(places, "id", ["x", "y"])
     middle = np.median(sample, axis=0) if len(sample) else np.zeros(2)
     frame = Sphere(float(middle[0]), float(middle[1]))
-    splits = kdsplit.fit_splits(frame.unit(sample), rows, leaf_rows)
+    splits = kdsplit.fit_splits(frame.unit(sample), rows, leaf_rows, places, "id", ["x", "y"], frame.unit)
     places, members = kdsplit.split_hot(places, "id", ["x", "y"], kdsplit.hot_positions(sample))
     routed = kdsplit.route(places, "id", ["x", "y"], splits, frame.chord(float(np.sqrt(radius2))), frame.unit)
     if zones is None:
@@ -115,16 +118,27 @@ def near(points: DataFrame, key: str, x: str, y: str, radius2: float, zones: Dat
 
 
 def expand(pairs: DataFrame, members: DataFrame | None) -> DataFrame:
-    """Pairs with every member of a hot place in the stead of its smallest key, and the pairs inside the place."""
+    """Pairs with every member of a hot place in the stead of its smallest key, and the pairs inside the place.
+
+    The members of a place are split by a hash of their keys into blocks of about HOT_BLOCK. What is joined, and spread over
+    the tasks, is blocks with blocks; only then they become pairs. So a row stands for about
+    HOT_BLOCK * HOT_BLOCK pairs, however many rows are at a place.
+    """
     if members is None:
         return pairs
-    a, b = members.select(F.col("_rep").alias("_ra"), F.col("id").alias("_ma")), members.select(F.col("_rep").alias("_rb"), F.col("id").alias("_mb"))
+    pairs = cut(pairs)
+    sizes = members.groupBy("_rep").agg(F.ceil(F.count(F.lit(1)) / HOT_BLOCK).cast("int").alias("_n"))
+    salted = members.join(F.broadcast(sizes), "_rep").withColumn("_salt", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int"))
+    blocks = salted.groupBy("_rep", "_salt").agg(F.collect_list("id").alias("_ids"))
+    reps = F.broadcast(sizes.select("_rep"))
     point = F.col("kind") == "point"
-    all_pairs = (
-        pairs.join(a, point & (F.col("id_a") == F.col("_ra")), "left")
-        .join(b, F.col("id_b") == F.col("_rb"), "left")
-        .select("kind", F.coalesce("_ma", "id_a").alias("id_a"), F.coalesce("_mb", "id_b").alias("id_b"))
-    )
-    inner = a.join(b, (F.col("_ra") == F.col("_rb")) & (F.col("_ma") < F.col("_mb"))).select(F.lit("point").alias("kind"), F.col("_ma").alias("id_a"), F.col("_mb").alias("id_b"))
+    hot = pairs.join(reps.withColumnsRenamed({"_rep": "_ra"}), point & (F.col("id_a") == F.col("_ra")), "left").join(reps.withColumnsRenamed({"_rep": "_rb"}), F.col("id_b") == F.col("_rb"), "left")
+    plain = hot.where("_ra is null and _rb is null").select("kind", "id_a", "id_b")
+    named = lambda side: blocks.select(F.col("_rep").alias(f"_r{side}"), F.col("_salt").alias(f"_s{side}"), F.col("_ids").alias(f"_i{side}"))
+    met = hot.where("_ra is not null or _rb is not null").join(named("a"), "_ra", "left").join(named("b"), "_rb", "left")
+    outer = met.select("kind", F.coalesce("_ia", F.array("id_a")).alias("_ia"), F.coalesce("_ib", F.array("id_b")).alias("_ib"), F.lit(False).alias("_same"))
+    inner = named("a").join(named("b"), (F.col("_ra") == F.col("_rb")) & (F.col("_sa") <= F.col("_sb"))).select(F.lit("point").alias("kind"), "_ia", "_ib", (F.col("_sa") == F.col("_sb")).alias("_same"))
+    spread = outer.unionByName(inner).repartition(F.xxhash64(F.col("_ia")[0], F.col("_ib")[0]))
+    each = spread.select("kind", "_ib", "_same", F.explode("_ia").alias("id_a")).select("kind", "_same", "id_a", F.explode("_ib").alias("id_b")).where("not _same or id_a < id_b")
     swap = point & (F.col("id_a") > F.col("id_b"))
-    return all_pairs.unionByName(inner).select("kind", F.when(swap, F.col("id_b")).otherwise(F.col("id_a")).alias("id_a"), F.when(swap, F.col("id_a")).otherwise(F.col("id_b")).alias("id_b"))
+    return plain.unionByName(each.select("kind", F.when(swap, F.col("id_b")).otherwise(F.col("id_a")).alias("id_a"), F.when(swap, F.col("id_a")).otherwise(F.col("id_b")).alias("id_b")))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from geostrata.model import Box, GridSpec, pack_cell, unpack_cell
 from geostrata.operators import aggregates as A
-from geostrata.operators import filters, gridding, joins, raster, sorting, surface
+from geostrata.operators import filters, gridding, joins, kdsplit, raster, sorting, surface
 
 
 @pytest.fixture(scope="module")
@@ -121,3 +121,44 @@ def test_registration_finds_a_known_motion(spark, lattice):
     moved = few.withColumns({"x": F.col("x") + 0.2, "y": F.col("y") - 0.1, "z": F.col("z") + 0.05})
     done, fitness, matrix = surface.register(moved, few, "point_id", 10)
     assert done and fitness < 1e-6 and np.allclose(matrix[:3, 3], [-0.2, 0.1, -0.05], atol=1e-3)
+
+
+@pytest.mark.parametrize(("k", "radius", "leaf_rows"), [(5, None, 10**6), (5, None, 100), (3, 0.4, 100), (None, 0.5, 100), (900, None, 100)])
+def test_knn_against_brute_force(spark, k, radius, leaf_rows):
+    rng = np.random.default_rng(3)
+    p = np.round(rng.random((800, 3)) * 4, 1)
+    q = np.round(rng.random((60, 3)) * 4, 1)
+    frame = lambda v: spark.createDataFrame([(int(i), *map(float, r)) for i, r in enumerate(v)], "id long, x double, y double, z double")
+    got = {}
+    for r in joins.knn(frame(q), "id", frame(p), "id", ["x", "y", "z"], k, radius, leaf_rows).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["id"])
+    for i, a in enumerate(q):
+        d2 = ((p - a) ** 2).sum(1)
+        order = np.lexsort((np.arange(len(p)), d2))
+        want = [int(o) for o in order if radius is None or d2[o] <= radius * radius][:k]
+        assert got.get(i, []) == want
+
+
+@pytest.mark.parametrize("k", [4, None])
+def test_knn_of_a_hot_place(spark, monkeypatch, k):
+    monkeypatch.setattr(kdsplit, "hot_positions", lambda sample, least=0: np.array([[1.0, 1.0]]))
+    points = spark.createDataFrame([(i, 1.0, 1.0) for i in range(40)] + [(50, 1.5, 1.0), (51, 9.0, 9.0)], "id long, x double, y double")
+    got = joins.knn(points.where("id >= 39"), "id", points, "id", ["x", "y"], k, 1.0).groupBy("query_id").agg(F.sort_array(F.collect_list("id")).alias("ids")).collect()
+    near = [*range(40), 50]
+    assert {r["query_id"]: r["ids"] for r in got} == {39: near[:k] if k else near, 50: [50, 0, 1, 2][1:] + [50] if k else near, 51: [51]}
+
+
+@pytest.mark.parametrize("leaf_rows", [10**6, 60])
+def test_embedding_search_is_exact_and_near_enough_with_an_error(spark, leaf_rows):
+    rng = np.random.default_rng(4)
+    v = (rng.normal(0, 1, (12, 24))[rng.integers(0, 12, 700)] * 3 + rng.normal(0, 0.5, (700, 24))).astype(np.float32)
+    df = spark.createDataFrame([(int(i), [float(x) for x in r]) for i, r in enumerate(v)] + [(900, None), (901, [1.0]), (902, [float("nan")] * 24)], "id long, e array<float>")
+    asks = df.where("id % 20 = 0")
+    w = v.astype(float)
+    exact = {int(q): [int(o) for o in np.lexsort((np.arange(700), ((w - w[q]) ** 2).sum(1)))[:6]] for q in range(0, 700, 20)}
+    for error in (0.0, 1.0):
+        got = {}
+        for r in joins.embedding_knn(asks, df, "id", "e", 6, 24, error, leaf_rows).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append(r["id"])
+        recall = np.mean([len(set(got[q]) & set(ids)) / 6 for q, ids in exact.items()])
+        assert got == exact if error == 0 else recall >= 0.9

@@ -2,7 +2,10 @@ import numpy as np
 import pytest
 
 from geostrata.functions.wkt import parse_polygons, sweep_inside
+from pyspark.sql import functions as F
+
 from geostrata.operators import kdsplit
+from geostrata.operators import near as near_module
 from geostrata.operators.near import expand, near
 
 NAN = float("nan")
@@ -70,3 +73,21 @@ def test_sweep_against_crossing_numbers():
         for (x1, y1), (x2, y2) in zip(ring, np.roll(ring, -1, axis=0), strict=True):
             inside ^= ((y1 > p[:, 1]) != (y2 > p[:, 1])) & (p[:, 0] < (x2 - x1) * (p[:, 1] - y1) / (y2 - y1) + x1)
         assert (sweep_inside(parse_polygons(wkt), p[:, 0], p[:, 1]) == inside).all()
+
+
+def test_a_hot_place_is_expanded_by_blocks(spark):
+    """4,000 points at one place, and one beside it: no row of what is spread stands for more pairs than two blocks have."""
+    members = spark.range(1, 4_001).select("id").withColumn("_rep", F.lit(1).cast("long"))
+    pairs = spark.createDataFrame([("point", 1, 50_000), ("zone", 3, 1), ("point", 60_000, 60_001)], "kind string, id_a long, id_b long")
+    got = near_module.expand(pairs, members)
+    counts = {r["kind"]: (r["n"], r["same"]) for r in got.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("id_a") >= F.col("id_b")).alias("same")).collect()}
+    assert counts["point"] == (4_000 * 3_999 // 2 + 4_000 + 1, 0)
+    assert counts["zone"][0] == 4_000
+    assert got.where("id_b = 50000").count() == 4_000 and got.where("id_a = 60000").count() == 1
+
+
+def test_two_hot_places(spark, monkeypatch):
+    monkeypatch.setattr(near_module, "HOT_BLOCK", 7)
+    monkeypatch.setattr(kdsplit, "hot_positions", lambda sample, least=20: _hot(sample, 20))
+    rows = [(i, 400000.0 + 0.25 * (i % 2), 6e6, "", 0) for i in range(80)] + [(90, 400000.1, 6e6, "", 0), (91, 500000.0, 6e6, "", 0)]
+    assert found(spark, rows) == brute(rows)
