@@ -3,16 +3,22 @@
 A sequence of tokens is the encoding of a piece of text exactly if each two neighbouring tokens are what merging their
 bytes alone gives. So an automaton over bytes can follow, at once, every way to end the text so far: a way is a node of
 the trie of the vocabulary that the bytes since the last token boundary lead to, and the tokens before. Each boundary has
-just one encoding before it. The set of all ways is a state; states and their transitions are made when a text first
-needs them. A transition emits the tokens on which all its ways agree, so output lags the input by the bytes that a
-longer token may still take, never by more.
+just one encoding before it. The set of all ways is a state. States near the beginning of a piece and their transitions
+are made when a text first needs them and then kept; further on, where few pieces are alike, a state is followed without
+being kept. Either way the tokens on which all ways agree are emitted, so output lags the input by the bytes that a longer
+token may still take, never by more.
+
+A batch of texts is encoded by its distinct pieces: each is encoded once, and the ids are put together as arrays.
 """
 
 from __future__ import annotations
 
 import base64
 import os
-from collections.abc import Iterator
+import re
+from array import array
+from collections.abc import Callable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +31,12 @@ from ..session import spread
 #: How a text falls into pieces that are encoded one by one; fixed by the vocabulary.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 TOKENIZERS = os.environ.get("GEOSTRATA_TOKENIZERS", "/opt/tokenizers")
-#: Entries that a worker keeps before it starts anew; a longer piece is not kept.
-KEPT_PIECES, KEPT_STATES, KEPT_PAIRS, LONGEST_KEPT = 200_000, 60_000, 200_000, 64
+#: The same for texts of ASCII alone, which is quicker.
+_ASCII = r"""'(?:s|t|re|ve|m|ll|d)| ?[A-Za-z]+| ?[0-9]+| ?[^ \t\n\r\f\vA-Za-z0-9]+|[ \t\n\r\f\v]+(?![^ \t\n\r\f\v])|[ \t\n\r\f\v]+"""
+#: Pieces and pairs of tokens that a worker keeps before it starts anew; a longer piece is not kept.
+KEPT_PIECES, KEPT_PAIRS, LONGEST_KEPT = 300_000, 400_000, 64
+#: Bytes from the beginning of a piece for which states are kept, and how many of them.
+DETERMINED, KEPT_STATES = 3, 60_000
 
 
 def read_ranks(blob: bytes) -> dict[bytes, int]:
@@ -42,11 +52,30 @@ def vocabulary(name: str, folder: str = TOKENIZERS) -> bytes:
         return file.read()
 
 
+class _Pieces(dict):
+    """Number of each piece that has been met; a new one is learned."""
+
+    def __init__(self, learn: Callable[[str], int]):
+        self.learn = learn
+
+    def __missing__(self, piece: str) -> int:
+        number = self.learn(piece)
+        if len(piece) <= LONGEST_KEPT:
+            self[piece] = number
+        return number
+
+
 class Encoder:
+    """Encoder of a vocabulary of byte strings whose ids are the ranks of their merges.
+
+    A way is (tokens that are not emitted yet, node of the trie, last token before the node).
+    """
+
     def __init__(self, ranks: dict[bytes, int], pieces: str = PIECES):
         self.ranks = ranks
         self.bytes_of = {number: token for token, number in ranks.items()}
         self.split = regex.compile(pieces).findall
+        self.split_ascii = re.compile(_ASCII).findall if pieces == PIECES else self.split
         self.children: list[dict[int, int]] = [{}]
         self.token: list[int] = [-1]
         for token, number in ranks.items():
@@ -59,99 +88,141 @@ class Encoder:
                     self.token.append(-1)
                 node = to
             self.token[node] = number
+        self.parts: dict[int, tuple[int, int] | None] = {}
         self.fits: dict[tuple[int, int], bool] = {}
-        self.cache: dict[str, list[int]] = {}
-        self._reset()
+        self._forget()
+        self._forget_pieces()
 
-    def _reset(self) -> None:
-        start = (-1, (((), 0),))
+    def _forget(self) -> None:
+        start = (((), 0, -1),)
         self.states: list[tuple] = [start]
         self.number: dict[tuple, int] = {start: 0}
         self.step: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
 
-    def merge(self, data: bytes) -> list[int]:
-        """Encoding by the definition: the pair of least rank is merged first. For short inputs."""
+    def _forget_pieces(self) -> None:
+        self.pieces = _Pieces(self._learn)
+        self.flat, self.begins = array("i"), array("q", [0])
+
+    def _learn(self, piece: str) -> int:
+        self.flat.extend(self.encode_piece(piece.encode()))
+        self.begins.append(len(self.flat))
+        return len(self.begins) - 2
+
+    def merge(self, data: bytes, below: int = 1 << 60) -> list[bytes]:
+        """Parts of data by the definition, with merges of a rank under below: the pair of least rank is merged first. For short inputs."""
         parts = [data[i : i + 1] for i in range(len(data))]
         while len(parts) > 1:
             rank, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
-            if rank == 1 << 60:
+            if rank >= below:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ranks[p] for p in parts]
+        return parts
+
+    def halves(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose merge makes this one; None for a single byte, and (-1, -1) for one that no merge makes."""
+        if token not in self.parts:
+            data = self.bytes_of[token]
+            parts = self.merge(data, token)
+            self.parts[token] = None if len(data) == 1 else (self.ranks[parts[0]], self.ranks[parts[1]]) if len(parts) == 2 else (-1, -1)
+        return self.parts[token]
 
     def may_follow(self, last: int, token: int) -> bool:
+        """Whether merging the bytes of both gives just these two tokens; without a last one, whether the token's bytes give it."""
         key = (last, token)
         known = self.fits.get(key)
         if known is None:
-            if last < 0:
-                known = self.merge(self.bytes_of[token]) == [token]
-            else:
-                known = self.merge(self.bytes_of[last] + self.bytes_of[token]) == [last, token]
+            known = self.halves(token) != (-1, -1) and (last < 0 or self._stay_apart(last, token))
             if len(self.fits) >= KEPT_PAIRS:
                 self.fits.clear()
             self.fits[key] = known
         return known
 
-    def _make(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        last, ways = self.states[state]
-        next_ways = []
-        for pending, node in ways:
+    def _stay_apart(self, left: int, right: int) -> bool:
+        """Both tokens are taken apart again, the later merge first. What lies on the two sides of the boundary at a time must not be a pair that is merged before one of them is merged with its other neighbour."""
+        bytes_of, ranks = self.bytes_of, self.ranks
+        left_ends = right_ends = 1 << 60
+        while True:
+            joint = ranks.get(bytes_of[left] + bytes_of[right])
+            # of two merges of one rank the one further left comes first
+            if joint is not None and joint < left_ends and joint <= right_ends:
+                return False
+            left_parts, right_parts = self.halves(left), self.halves(right)
+            if left_parts is None and right_parts is None:
+                return True
+            if right_parts is None or (left_parts is not None and left > right):
+                left_ends, left = left, left_parts[1]
+            else:
+                right_ends, right = right, right_parts[0]
+
+    def _follow(self, ways: tuple, byte: int) -> tuple[tuple, tuple[int, ...]]:
+        """The ways after a byte, and the tokens on which all agree."""
+        met = []
+        for pending, node, last in ways:
             to = self.children[node].get(byte)
             if to is None:
                 continue
-            next_ways.append((pending, to))
+            met.append((pending, to, last))
             token = self.token[to]
-            if token >= 0 and self.may_follow(pending[-1] if pending else last, token):
-                next_ways.append((pending + (token,), 0))
-        agreed = 0
-        shortest = min(len(p) for p, _ in next_ways)
-        while agreed < shortest and len({p[agreed] for p, _ in next_ways}) == 1:
+            if token >= 0 and self.may_follow(last, token):
+                met.append(((*pending, token), 0, token))
+        if not met[0][0]:
+            return tuple(met), ()
+        agreed, first = 0, met[0][0]
+        shortest = min(len(way[0]) for way in met)
+        while agreed < shortest and all(way[0][agreed] == first[agreed] for way in met):
             agreed += 1
-        emitted = next_ways[0][0][:agreed]
-        made = (emitted[-1] if emitted else last, tuple(sorted((p[agreed:], n) for p, n in next_ways)))
-        number = self.number.get(made)
+        return (tuple((p[agreed:], n, t) for p, n, t in met), first[:agreed]) if agreed else (tuple(met), ())
+
+    def _make(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+        ways, emitted = self._follow(self.states[state], byte)
+        number = self.number.get(ways)
         if number is None:
-            number = self.number[made] = len(self.states)
-            self.states.append(made)
+            number = self.number[ways] = len(self.states)
+            self.states.append(ways)
             self.step.append({})
         self.step[state][byte] = (number, emitted)
         return number, emitted
 
     def encode_piece(self, data: bytes) -> list[int]:
         out: list[int] = []
-        state = 0
-        step = self.step
-        for byte in data:
+        if len(self.states) > KEPT_STATES:
+            self._forget()
+        state, step = 0, self.step
+        for byte in data[:DETERMINED]:
             moved = step[state].get(byte)
             if moved is None:
                 moved = self._make(state, byte)
             state, emitted = moved
-            if emitted:
-                out += emitted
-        for pending, node in self.states[state][1]:
+            out += emitted
+        ways = self.states[state]
+        for byte in data[DETERMINED:]:
+            ways, emitted = self._follow(ways, byte)
+            out += emitted
+        for pending, node, _ in ways:
             if node == 0:  # the way that has a boundary just here
                 out += pending
                 break
-        if len(self.states) > KEPT_STATES:
-            self._reset()
         return out
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a text; none for an empty text or a null."""
-        out: list[int] = []
-        if not text:
-            return out
-        cache = self.cache
-        for piece in self.split(text):
-            ids = cache.get(piece)
-            if ids is None:
-                ids = self.encode_piece(piece.encode())
-                if len(piece) <= LONGEST_KEPT:
-                    if len(cache) >= KEPT_PIECES:
-                        cache.clear()
-                    cache[piece] = ids
-            out += ids
-        return out
+        return self.encode_batch([text])[1].tolist()
+
+    def encode_batch(self, texts: Sequence[str | None], counts_only: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """The ends of the texts' ids, with a 0 before them, and the ids; none of them with counts_only."""
+        if len(self.begins) > KEPT_PIECES:
+            self._forget_pieces()
+        look = self.pieces.__getitem__
+        numbers = [list(map(look, (self.split_ascii if text.isascii() else self.split)(text))) if text else [] for text in texts]
+        of_text = np.cumsum([0, *map(len, numbers)])
+        piece = np.fromiter(chain.from_iterable(numbers), np.int64, int(of_text[-1]))
+        begins = np.frombuffer(self.begins, np.int64)
+        sizes = (begins[1:] - begins[:-1])[piece]
+        ends = np.r_[0, np.cumsum(sizes)]
+        if counts_only:
+            return ends[of_text], np.zeros(0, np.int32)
+        at = np.arange(ends[-1]) + np.repeat(begins[piece] - ends[:-1], sizes)
+        return ends[of_text], np.frombuffer(self.flat, np.int32)[at] if len(at) else np.zeros(0, np.int32)
 
 
 class Utf8Machine:
@@ -217,9 +288,7 @@ def encode(documents: DataFrame, key: str, text: str, tokenizer: str = "byte_bpe
         for batch in batches:
             texts = batch.column(1)
             for begin in range(0, batch.num_rows, 1000):
-                lists = [encoder.encode(t.as_py()) for t in texts.slice(begin, 1000)]
-                ends = np.cumsum([0, *map(len, lists)])
-                flat = np.fromiter((i for ids in lists for i in ids), np.int32, int(ends[-1]))
+                ends, flat = encoder.encode_batch(texts.slice(begin, 1000).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, 1000), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=[key, "ids"])
 
     return spread(documents.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias("_text"))).mapInArrow(run, f"{key} long, ids array<int>")
@@ -232,7 +301,9 @@ def count_tokens(documents: DataFrame, key: str, text: str, tokenizer: str = "by
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(blob.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(encoder.encode(t.as_py())) for t in batch.column(1)], pa.int64())], names=[key, "tokens"])
+            for begin in range(0, batch.num_rows, 1000):
+                ends, _ = encoder.encode_batch(batch.column(1).slice(begin, 1000).to_pylist(), counts_only=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, 1000), pa.array(np.diff(ends), pa.int64())], names=[key, "tokens"])
 
     return spread(documents.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias("_text"))).mapInArrow(run, f"{key} long, tokens long")
 

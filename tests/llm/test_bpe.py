@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -53,7 +54,7 @@ def test_transducer_emits_with_bounded_lookahead(encoder):
     state, lag = 0, 0
     for byte in b"the unbelievable internationalization of things" * 3:
         state, _ = encoder.step[state].get(byte) or encoder._make(state, byte)
-        lag = max(lag, *(len(p) for p, _ in encoder.states[state][1]))
+        lag = max(lag, *(len(way[0]) for way in encoder.states[state]))
     assert lag <= 12
 
 
@@ -79,3 +80,20 @@ def test_frames(spark, reference):
     assert bpe.decode(odd, "doc_id").first()["text"].startswith("��")
     with pytest.raises(ValueError):
         bpe.encode(df, "doc_id", "text", "no_such")
+
+
+def test_batches_and_counts(encoder):
+    texts = ["hello  world", None, "", "naïve 漢字 " * 3, "x" * 200 + " 123456", "hello  world"]
+    ends, ids = encoder.encode_batch(texts)
+    assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)] == [encoder.encode(t) for t in texts]
+    assert encoder.encode_batch(texts, counts_only=True)[0].tolist() == ends.tolist()
+    assert [t.tolist() for t in encoder.encode_batch([])] == [[0], []]
+
+
+def test_tokens_that_stay_apart_are_those_that_merging_leaves(encoder):
+    rng = np.random.default_rng(5)
+    for left, right in rng.integers(0, 50_256, (3000, 2)).tolist():
+        data = encoder.bytes_of[left] + encoder.bytes_of[right]
+        whole = all(encoder.merge(encoder.bytes_of[t]) == [encoder.bytes_of[t]] for t in (left, right))
+        if whole:
+            assert encoder._stay_apart(left, right) == (encoder.merge(data) == [encoder.bytes_of[left], encoder.bytes_of[right]])
