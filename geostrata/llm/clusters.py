@@ -159,7 +159,7 @@ def cluster(points: DataFrame, key: str, columns: list[str], radius2: float, lea
     places = points.select(F.col(key).cast("long").alias("id"), *[F.col(c).cast("double").alias(n) for c, n in zip(columns, names, strict=True)])
     places = places.where(F.col("id").isNotNull() & kdsplit.present(*[F.col(n) for n in names]))
     rows, sample = kdsplit.bounded_sample(places, "id", names)
-    splits = kdsplit.fit_splits(sample, rows, leaf_rows)
+    splits = kdsplit.fit_splits(sample, rows, leaf_rows, places, "id", names)
     places, members = kdsplit.split_hot(places, "id", names, kdsplit.hot_positions(sample))
     if members is None:
         places = places.withColumn("copies", F.lit(1.0))

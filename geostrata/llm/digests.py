@@ -1,10 +1,11 @@
 """Percentiles of large numeric columns by merging centroid digests (t-digests), with certified rank errors.
 
-A digest is a list of centroids (mean, weight) in order of the mean, with the least and the largest value. Sorted values
+A digest is a list of centroids (mean, weight, least and largest value of its own) in order of the mean. Sorted values
 are clustered from the left: a centroid takes values as long as the scale function k(q) = compression / (2 pi) *
 asin(2 q - 1) grows by at most 1 over it, so that centroids are small near the ends. Digests of partitions or days are
-merged by clustering all their centroids again. A digest's rank error is bounded by the weight of the centroids around
-a value, and a second pass over the data that counts the values below and at given thresholds certifies it.
+merged by clustering all their centroids again. However often that is done, a centroid's values lie between its own least
+and largest one, so a value's rank is certain but for the weight of the centroids that it falls into; a second pass over
+the data that counts the values below and at given thresholds settles what the digests leave open.
 """
 
 from __future__ import annotations
@@ -23,13 +24,17 @@ ENDLESS = 1e150
 SALTS = 32
 #: With more partitions than this, digests of a group are merged in so many parts before they are merged into one.
 FAN = 128
-_DIGEST = "count long, least double, most double, means array<double>, weights array<double>"
+_ARRAYS = ("means", "weights", "lows", "highs")
+_DIGEST = "count long, " + ", ".join(f"{n} array<double>" for n in _ARRAYS)
 
+#: (count, means, weights, lows, highs)
+Digest = tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
-def recluster(means: np.ndarray, weights: np.ndarray, compression: float = COMPRESSION) -> tuple[np.ndarray, np.ndarray]:
-    """Centroids of sorted (means, weights) under the size function."""
+
+def recluster(means: np.ndarray, weights: np.ndarray, lows: np.ndarray, highs: np.ndarray, compression: float = COMPRESSION) -> tuple[np.ndarray, ...]:
+    """Centroids of sorted centroids under the size function."""
     if not len(means):
-        return means.astype(float), weights.astype(float)
+        return means.astype(float), weights.astype(float), lows.astype(float), highs.astype(float)
     total = weights.sum()
     right = np.cumsum(weights)
     scale = compression / (2 * np.pi)
@@ -46,57 +51,57 @@ def recluster(means: np.ndarray, weights: np.ndarray, compression: float = COMPR
         starts.append(end)
         at, left = end, right[end - 1]
     sums, sizes = np.add.reduceat(means * weights, starts), np.add.reduceat(weights, starts)
-    return sums / sizes, sizes
+    return sums / sizes, sizes, np.minimum.reduceat(lows, starts), np.maximum.reduceat(highs, starts)
 
 
-def digest_of(values: np.ndarray, compression: float = COMPRESSION) -> tuple[int, float, float, np.ndarray, np.ndarray]:
+def digest_of(values: np.ndarray, compression: float = COMPRESSION) -> Digest:
     held = np.sort(values)
-    means, weights = recluster(held, np.ones(len(held)), compression)
-    return len(held), float(held[0]), float(held[-1]), means, weights
+    return len(held), *recluster(held, np.ones(len(held)), held, held, compression)
 
 
-def merge(parts: list[tuple[int, float, float, np.ndarray, np.ndarray]], compression: float = COMPRESSION) -> tuple[int, float, float, np.ndarray, np.ndarray]:
-    means, weights = np.concatenate([p[3] for p in parts]), np.concatenate([p[4] for p in parts])
-    order = np.argsort(means, kind="stable")
-    means, weights = recluster(means[order], weights[order], compression)
-    return sum(p[0] for p in parts), min(p[1] for p in parts), max(p[2] for p in parts), means, weights
+def merge(parts: list[Digest], compression: float = COMPRESSION) -> Digest:
+    if len(parts) == 1:
+        return parts[0]
+    arrays = [np.concatenate([p[k] for p in parts]) for k in range(1, 5)]
+    order = np.argsort(arrays[0], kind="stable")
+    return sum(p[0] for p in parts), *recluster(*(a[order] for a in arrays), compression)
 
 
-def quantile(digest: tuple[int, float, float, np.ndarray, np.ndarray], q: np.ndarray) -> np.ndarray:
+def quantile(digest: Digest, q: np.ndarray) -> np.ndarray:
     """Values at the ranks q, by lines between the middles of the centroids."""
-    count, least, most, means, weights = digest
+    count, means, weights, lows, highs = digest
     middle = np.cumsum(weights) - weights / 2
-    return np.interp(np.asarray(q) * count, np.r_[0.0, middle, count], np.r_[least, means, most])
-
+    return np.interp(np.asarray(q) * count, np.r_[0.0, middle, count], np.r_[lows.min(), means, highs.max()])
 
-def rank(digest: tuple[int, float, float, np.ndarray, np.ndarray], value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each value, the estimated share of values at or below it and how far off it may be, as low and high.
 
-    The bound takes each centroid for spread between the means next to it, which holds for a digest of sorted values;
-    for merged digests it is a good estimate that the counting pass certifies.
-    """
-    count, least, most, means, weights = digest
+def rank(digest: Digest, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each value, the estimated share of values at or below it, a share that certainly is at or below it, and one that what is below it certainly does not exceed."""
+    count, means, weights, lows, highs = digest
     value = np.asarray(value, float)
-    right = np.cumsum(weights)
-    middle = right - weights / 2
+    middle = np.cumsum(weights) - weights / 2
+    least, most = lows.min(), highs.max()
     share = np.interp(value, np.r_[least, means, most], np.r_[0.0, middle, count]) / count
     share = np.where(value < least, 0.0, np.where(value >= most, 1.0, share))
-    at = np.searchsorted(means, value, "right")
-    low = np.r_[0.0, right][np.maximum(at - 2, 0)] / count
-    high = np.r_[right, count][np.minimum(at + 1, len(right))] / count
-    return share, np.where(value < least, 0.0, low), np.where(value >= most, 1.0, high)
+    low = np.array([weights[highs <= v].sum() for v in value]) / count
+    high = 1 - np.array([weights[lows >= v].sum() for v in value]) / count
+    return share, low, high
 
 
-def _unpack(batch: pa.Table) -> list[tuple[int, float, float, np.ndarray, np.ndarray]]:
-    c = {n: batch.column(n).to_pylist() for n in ("count", "least", "most", "means", "weights")}
-    return [(a, b, d, np.array(m), np.array(w)) for a, b, d, m, w in zip(*c.values(), strict=True)]
+def _unpack(batch: pa.Table) -> list[Digest]:
+    arrays = []
+    for name in _ARRAYS:
+        column = batch.column(name).combine_chunks()
+        ends = column.offsets.to_numpy()
+        arrays.append(np.split(column.values.to_numpy(), ends[1:-1]) if ends[0] == 0 and len(ends) > 1 else [np.array(x) for x in column.to_pylist()])
+    return list(zip(batch.column("count").to_pylist(), *arrays, strict=True))
 
 
-def _pack(rows: list[tuple]) -> dict:
-    return {
-        "count": pa.array([r[0] for r in rows], pa.int64()), "least": pa.array([r[1] for r in rows], pa.float64()), "most": pa.array([r[2] for r in rows], pa.float64()),
-        "means": pa.array([r[3].tolist() for r in rows], pa.list_(pa.float64())), "weights": pa.array([r[4].tolist() for r in rows], pa.list_(pa.float64())),
-    }
+def _pack(rows: list[Digest]) -> dict:
+    out = {"count": pa.array([r[0] for r in rows], pa.int64())}
+    for k, name in enumerate(_ARRAYS, 1):
+        ends = np.cumsum([0, *(len(r[k]) for r in rows)])
+        out[name] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0), *(r[k] for r in rows)])))
+    return out
 
 
 def once(rows: DataFrame, key: str, *columns: str | Column) -> DataFrame:
@@ -164,11 +169,18 @@ def merge_digests(digests: DataFrame, by: list[str], compression: float = COMPRE
         return pa.table({b: held.column(b).slice(0, 1) for b in by} | _pack([merge(_unpack(held), compression)]))
 
     kinds = dict(digests.dtypes)
-    if by and int(digests.sparkSession.conf.get("spark.sql.shuffle.partitions")) > FAN:
+    spark = digests.sparkSession
+    held = digests.select(*by, "count", *_ARRAYS)
+    schema = ", ".join(f"{b} {kinds[b]}" for b in by)
+    # digests are small but take work to merge, so the number of tasks is not left to their size
+    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if by and int(spark.conf.get("spark.sql.shuffle.partitions")) > FAN:
         # a hot group has a digest from each of many partitions: they are merged in FAN parts first
-        held = digests.select(*by, "count", "least", "most", "means", "weights").withColumn("_fan", F.pmod(F.spark_partition_id(), F.lit(FAN)))
-        digests = held.groupBy(*by, "_fan").applyInArrow(one, ", ".join(f"{b} {kinds[b]}" for b in by) + f", {_DIGEST}")
-    return digests.groupBy(*by).applyInArrow(one, ", ".join(f"{b} {kinds[b]}" for b in by) + f", {_DIGEST}")
+        fanned = held.withColumn("_fan", F.pmod(F.spark_partition_id(), F.lit(FAN)))
+        held = fanned.repartition(tasks, *by, "_fan").groupBy(*by, "_fan").applyInArrow(one, f"{schema}, {_DIGEST}")
+    if by:
+        held = held.repartition(tasks, *by)
+    return held.groupBy(*by).applyInArrow(one, f"{schema}, {_DIGEST}")
 
 
 def percentiles(digests: DataFrame, pcts: list[int]) -> DataFrame:
@@ -189,7 +201,7 @@ def percentiles(digests: DataFrame, pcts: list[int]) -> DataFrame:
 
 
 def ranks(digests: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """(group_id, field, value, share, low, high): the share at or below each threshold by the digest, and its bound."""
+    """(group_id, field, value, share, low, high): the share at or below each threshold by the digest; at least low is at or below it, at most high is below it."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

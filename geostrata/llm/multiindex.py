@@ -7,8 +7,8 @@ sum cannot beat its k-th best. Distances to a centroid's list are taken to the b
 a lower bound and the result exact.
 
 The collection is cut into leaves by k-d splits, each leaf with an index of its own over all of its rows; the splits are
-fitted to a bounded sample. The sample also bounds the distance of a query's k-th neighbour from above, and the query goes
-to every leaf that the bound reaches; the best k of all leaves are its result.
+fitted to a bounded sample. The sample also bounds the distance of a query's k-th neighbour from above (see SampleReach),
+and the query goes to every leaf that the bound reaches; the best k of all leaves are its result.
 """
 
 from __future__ import annotations
@@ -142,32 +142,21 @@ def nearest(queries: DataFrame, query_key: str, points: DataFrame, key: str, col
 
     held, asked = places(points, key), places(queries, query_key)
     rows, sample = kdsplit.bounded_sample(held, "id", names)
-    splits = kdsplit.fit_splits(sample, rows, leaf_rows)
+    splits = kdsplit.fit_splits(sample, rows, leaf_rows, held, "id", names)
     hot = kdsplit.hot_positions(sample)
     if len(hot):
         light, members = kdsplit.split_hot(held, "id", names, hot)
         few = members.withColumn("_n", F.row_number().over(Window.partitionBy("_rep").orderBy("id"))).where(F.col("_n") <= want).where("id <> _rep")
         at = light.join(F.broadcast(few.select(F.col("_rep"), F.col("id").alias("_id"))), F.col("id") == F.col("_rep"))
         held = light.unionByName(at.select(F.col("_id").alias("id"), *names))
-    home = splits.locate(sample) if len(sample) else np.zeros(0, np.int64)
-    by_leaf = np.argsort(home, kind="stable")
-    grouped, begins = sample[by_leaf], np.searchsorted(home[by_leaf], np.arange(splits.leaves + 1))
+    bound = kdsplit.SampleReach(sample, splits, want)
 
     def send_query(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             at = np.column_stack([batch.column(1 + i).to_numpy(zero_copy_only=False) for i in range(len(names))])
-            reach2 = np.full(len(at), np.inf)
-            leaf = splits.locate(at)
-            for one in np.unique(leaf):
-                near = grouped[begins[one] : begins[one + 1]]
-                mine = np.nonzero(leaf == one)[0]
-                if len(near) >= want:
-                    for begin in range(0, len(mine), 256):
-                        some = mine[begin : begin + 256]
-                        step = at[some, None, :] - near[None, :, :]
-                        reach2[some] = np.partition((step * step).sum(2), want - 1, axis=1)[:, want - 1]
+            reach2 = bound(at)
             reach = np.sqrt(reach2) * (1 + 1e-9) + 1e-9
             row, to = splits.touching(at - reach[:, None], at + reach[:, None])
             yield pa.RecordBatch.from_arrays([pa.array(to), batch.column(0).take(pa.array(row)), pa.array((reach * reach)[row])] + [pa.array(np.ascontiguousarray(at[row, i])) for i in range(len(names))], names=["leaf", "id", "reach2", *names])

@@ -90,8 +90,13 @@ def pack(items: DataFrame, key: str, size: str, specs: DataFrame, group_rows: in
 
 
 def pack_documents(documents: DataFrame, key: str, text: str, specs: DataFrame, folder: str = TOKENIZERS, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """pack() of documents as long as their texts have tokens of each spec's tokenizer; a null text has none."""
-    tokenizers = [r[0] for r in specs.where("tokenizer is not null").select("tokenizer").distinct().orderBy("tokenizer").limit(100).collect()]
+    """pack() of documents as long as their texts have tokens of each spec's tokenizer; a null text has none.
+
+    A spec without a tokenizer takes no part. More than MOST_SPECS tokenizers are an error.
+    """
+    tokenizers = [r[0] for r in specs.where("tokenizer is not null and spec_id is not null and capacity >= 1").select("tokenizer").distinct().orderBy("tokenizer").limit(MOST_SPECS + 1).collect()]
+    if len(tokenizers) > MOST_SPECS:
+        raise ValueError(f"more than {MOST_SPECS} tokenizers: pack them in several calls")
     packed, rows = None, documents.count()
     for tokenizer in tokenizers:
         one = pack(count_tokens(documents, key, text, tokenizer, folder), key, "tokens", specs.where(F.col("tokenizer") == tokenizer), group_rows, rows)

@@ -38,14 +38,13 @@ def _readings(spark: SparkSession, folder: str, *more: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Declared percentiles that are off. The digests leave those that may be, and the counting pass decides."""
+    """Declared percentiles that are off. What the bounds of the digests don't clear for certain the counting pass decides."""
     rows = _readings(spark, folder)
     merged = digests.merge_digests(digests.partial_digests(rows, "file_id", _FIELDS), ["group_id", "field"])
     stats = table(spark, folder, "pc_file_stat").select(F.col("file_id").cast("long").alias("group_id"), "field", "pct", F.col("declared").alias("value")).where("value is not null and not isnan(value)")
     ranks = digests.ranks(merged, stats.select("group_id", "field", "value").distinct())
     share = F.col("pct") / 100
-    slack = 2 / digests.COMPRESSION
-    suspected = stats.join(ranks, ["group_id", "field", "value"]).where((F.col("high") + slack > share + TOLERANCE) | (F.col("low") - slack < share - TOLERANCE)).select("group_id", "field", "pct", "value")
+    suspected = stats.join(ranks, ["group_id", "field", "value"]).where((F.col("high") > share + TOLERANCE) | (F.col("low") < share - TOLERANCE)).select("group_id", "field", "pct", "value")
     counts = digests.count_at(rows, "file_id", _FIELDS, suspected.select("group_id", "field", "value").distinct(), "_key")
     wrong = (F.col("below") / F.col("count") > share + TOLERANCE) | (F.col("at_or_below") / F.col("count") < share - TOLERANCE)
     return suspected.join(counts, ["group_id", "field", "value"]).where(F.col("count") > 0).where(wrong).select(F.col("group_id").cast("int").alias("file_id"), "field", F.col("pct").cast("int").alias("pct"))

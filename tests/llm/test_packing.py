@@ -64,3 +64,10 @@ def test_documents(spark):
     out = packing.pack_documents(docs, "doc_id", "text", specs).toPandas()
     assert set(out.doc_id) == {1, 2, 3} and out.tokens.max() <= 30
     assert packing.pack_documents(docs, "doc_id", "text", specs.where("spec_id = 2")).count() == 0
+
+
+def test_no_tokenizer_is_left_out(spark):
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    specs = spark.createDataFrame([(i, f"t{i}", 30) for i in range(packing.MOST_SPECS + 1)], "spec_id int, tokenizer string, capacity int")
+    with pytest.raises(ValueError, match="tokenizers"):
+        packing.pack_documents(docs, "doc_id", "text", specs)
