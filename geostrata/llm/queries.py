@@ -100,7 +100,7 @@ def p8_levels(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    return p8_levels(spark, folder).where((F.col("words") >= DEMANDING_WORDS) & (F.col("grade") >= DEMANDING_GRADE - 0.5)).select("doc_id")
+    return p8_levels(spark, folder).where((F.col("words") >= DEMANDING_WORDS) & (F.col("grade") >= DEMANDING_GRADE)).select("doc_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,15 +1,21 @@
 """Reading level of each document's own prose: a linear pairwise ranker with isotonic calibration.
 
-What others wrote (quotes), signatures, markup, code and logs are taken out first. Features of syntax (sentence and
-clause lengths, subordination, commas) and of vocabulary (word lengths, syllables, function words) describe the rest.
-The ranker is fitted to pairs of graded documents, so that the harder one scores higher; isotonic regression turns
-scores into grades. English features mean little in another language, so posts in one are ranked by a second ranker
-that knows the length of sentences alone.
+What others wrote (quotes), signatures, markup, code and logs are taken out first. Features of syntax (lengths of
+sentences and clauses, how many clauses a sentence stacks, brackets, commas, and the share of each word of the closed
+classes: articles, pronouns, relatives, auxiliaries, negations, prepositions, conjunctions and subordinators) and of
+vocabulary (lengths, syllables, variety) describe the rest. The ranker is fitted to pairs of graded documents, so that the
+harder one scores higher; isotonic regression turns scores into levels, whole school grades.
+English features mean little in another language, so posts in one are ranked by a second ranker that knows the length of
+sentences alone.
 """
 
 from __future__ import annotations
 
 import html
+import math
+import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,40 +29,83 @@ from ..session import spread
 
 #: At most about so many labelled documents fit the ranker, chosen by a hash; all others are only scored.
 FIT_DOCUMENTS = 20_000
-PAIRS = 60_000
+#: All pairs of graded documents fit the ranker up to so many; of more, so many chosen at random.
+PAIRS = 100_000
 #: Over the number of labelled documents it is the weight of the ridge: few documents bear few features.
 RIDGE = 2.0
 
-_QUOTES = [
-    regex.compile(r"\[quote[^\]\n]*\](?:(?!\[/?quote).)*?\[/quote\]", regex.I | regex.S),
-    regex.compile(r"<blockquote[^>\n]*>(?:(?!</?blockquote).)*?</blockquote>", regex.I | regex.S),
-]
 _BLOCKS = [
     regex.compile(r"\[(code|pre|img|size|color)\b[^\]\n]*\].*?\[/\1\]", regex.I | regex.S),
     regex.compile(r"<(pre|code|script|style)\b[^>\n]*>.*?</\1>", regex.I | regex.S),
     regex.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)", regex.S),
 ]
-_OPEN_QUOTE = regex.compile(r"\[quote[^\]\n]*\].*?(?:^-{5,}[ \t]*$|\Z)", regex.I | regex.S | regex.M)
-_SIGNATURE = regex.compile(r"^(?:--[ \t]*|_{5,}[ \t]*)$.*\Z|^[ \t]*Sent from my\b.*\Z", regex.M | regex.S)
-_ATTRIBUTION = regex.compile(r"^[ \t]*On\b.{0,200}\bwrote:[ \t]*$", regex.M)
+_QUOTE_MARK = regex.compile(r"(?P<open>\[quote[^\]\n]*\])|(?P<close>\[/quote\])|(?P<openb><blockquote[^>\n]*>)|(?P<closeb></blockquote>)|(?P<rule>^-{5,}[ \t]*$)", regex.I | regex.M)
+_SIGNATURE = regex.compile(r"^(?:--[ \t]*|_{5,}[ \t]*)$|^[ \t]*Sent from my\b", regex.M)
+_ATTRIBUTION = regex.compile(r"^[ \t]*On\b[^\n]*\bwrote:[ \t]*$", regex.M)
 _QUOTED_LINE = regex.compile(r"^[ \t]*(?:>|&gt;).*$", regex.M)
-_TAG = regex.compile(r"</?[A-Za-z][^<>\n]{0,200}>|\[/?[A-Za-z*]{1,12}(?:=[^\]\n]{0,300})?\]")
-_BREAK = regex.compile(r"<(?:br|p|/p|div|/div|li|/li|h\d|/h\d)\b[^<>\n]{0,200}>", regex.I)
+_TAG = regex.compile(r"</?[A-Za-z][^<>\n]*>|\[/?[A-Za-z*]{1,12}(?:=[^\]\n]*)?\]")
+_BREAK = regex.compile(r"<(?:br|p|/p|div|/div|li|/li|h\d|/h\d)\b[^<>\n]*>", regex.I)
 _LINK = regex.compile(r"(?:https?://|www\.)\S+")
 _INVISIBLE = regex.compile(r"[\p{Cf}\p{Mn}\p{So}\p{Sk}]")
 _GONE = regex.compile(r"^[ \t]*[\[<](?:deleted|removed)\b[^\]>\n]*[\]>][ \t]*$", regex.I | regex.M)
+_ODD, _ODD_TOKEN = re.compile(r"[\d=_{}<>|\\/]"), re.compile(r"\S*[\d=_{}<>|\\/]\S*")
+_ASCII_WORD = re.compile(r"[a-z]+(?:['\-][a-z]+)*")
 _WORD = regex.compile(r"\p{L}+(?:['’\-]\p{L}+)*")
-_TOKEN = regex.compile(r"\S+")
 _SENTENCE_END = regex.compile(r"[.!?…]+(?=\s|$)|\n[ \t]*\n")
 _CLAUSE_END = regex.compile(r"[.!?…,;:()–—]+|\n[ \t]*\n|\b(?:and|but|or|so)\b", regex.I)
 _VOWELS = regex.compile(r"[aeiouyáéíóúàèäöü]+", regex.I)
-_FUNCTION = "the of to a in it is that which those whom whose who what than be been were had not nor as if one by from with for on at or but and so because after when where though although unless while however therefore i my me you your we he she they them this there can do".split()
-_SUBORDINATE = frozenset("which whom whose that those what than nor unless although though whereas whether because since while if as were notwithstanding inasmuch insofar lest".split())
+#: Words of closed classes, each a feature.
+_CLOSED = "the of to a in it is that which those whom whose who what than be been were had not nor as if one by from with for on at or but and so because after when where though although unless while however therefore i my me you your we he she they them this there can do".split()
+_SUBORDINATE = tuple("which whom whose that those what than nor unless although though whereas whether because since while if as were notwithstanding inasmuch insofar lest".split())
 #: Frequent words of other languages that are no words of English.
 _OTHER = frozenset("el los las una está más pero muy con por para que del der die das und ist nicht ich ein eine bei mit auch war aber es le les des est une je pas dans pour mais très sur il lo gli che non per sono".split())
+#: Frequent words of English, against them.
+_ENGLISH = ("the", "and", "to", "of", "that", "it", "was", "my", "with")
 #: The first ones need no English words.
 PLAIN = ("log_sentence",)
-NAMES = (*PLAIN, "log_clause", "commas", "semicolons", "subordination", "and_share", "letters", "long_words", "syllables", "many_syllables", "short_words", "distinct", *[f"w_{w}" for w in _FUNCTION])
+NAMES = (*PLAIN, "log_clause", "clauses", "most_clauses", "nesting", "commas", "semicolons", "letters", "long_words", "syllables", "many_syllables", "short_words", "distinct", "subordination", "and_share", *[f"w_{w}" for w in _CLOSED])
+
+
+def without_quotes(text: str) -> str:
+    """text without quotes in brackets or tags, however deep they nest, by one scan that keeps the marks that are still open.
+
+    A quote that is never closed ends at the next rule of dashes outside of other quotes, or with the text.
+    """
+    spans, rules = [], []
+    open_marks: dict[str, list[int]] = {"quote": [], "blockquote": []}
+    for mark in _QUOTE_MARK.finditer(text):
+        kind = mark.lastgroup
+        if kind == "rule":
+            rules.append((mark.start(), mark.end()))
+            continue
+        held = open_marks["quote" if kind in ("open", "close") else "blockquote"]
+        if kind in ("open", "openb"):
+            held.append(mark.start())
+        elif held:
+            spans.append((held.pop(), mark.end()))
+    left = sorted(open_marks["quote"] + open_marks["blockquote"])
+    if left and rules:
+        outside = [r for r in rules if not any(a <= r[0] < b for a, b in _joined(spans))] if spans else rules
+        starts = [r[0] for r in outside]
+        ends = [outside[k][1] if k < len(outside) else len(text) for k in (bisect_left(starts, at) for at in left)]
+    else:
+        ends = [len(text)] * len(left)
+    kept, at = [], 0
+    for begin, end in _joined(spans + list(zip(left, ends, strict=True))):
+        kept += [text[at:begin], "\n\n"]
+        at = end
+    return "".join([*kept, text[at:]])
+
+
+def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, those that overlap as one."""
+    out: list[tuple[int, int]] = []
+    for begin, end in sorted(spans):
+        if out and begin < out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((begin, end))
+    return out
 
 
 def own_prose(text: str | None) -> str:
@@ -64,53 +113,72 @@ def own_prose(text: str | None) -> str:
     if not text:
         return ""
     text = text.replace("\r\n", "\n").replace("\xa0", " ")
-    for pattern in _BLOCKS:
-        text = pattern.sub("\n\n", text)
-    for pattern in _QUOTES:
-        for _ in range(50):
-            text, taken = pattern.subn("\n\n", text)
-            if not taken:
-                break
-    text = _OPEN_QUOTE.sub("\n\n", text)
-    text = _QUOTED_LINE.sub("", _ATTRIBUTION.sub("", text))
-    text = _GONE.sub("", _SIGNATURE.sub("", text))
-    text = _TAG.sub("", _BREAK.sub("\n", text))
-    text = _INVISIBLE.sub("", html.unescape(text).replace("\xa0", " "))
-    text = _LINK.sub("", text).replace("*", "")
-    lines = []
-    for line in text.split("\n"):
-        tokens = _TOKEN.findall(line)
-        # a line of a log, a table or code is mostly tokens that hold digits or signs
-        odd = sum(any(c.isdigit() or c in "=_{}<>|\\/" for c in t) for t in tokens)
-        if not tokens or odd <= 0.4 * len(tokens):
-            lines.append(line)
+    marked = "[" in text or "<" in text
+    if marked or "```" in text or "~~~" in text:
+        for pattern in _BLOCKS:
+            text = pattern.sub("\n\n", text)
+    if marked:
+        text = without_quotes(text)
+    if "wrote:" in text:
+        text = _ATTRIBUTION.sub("", text)
+    if ">" in text or "&gt;" in text:
+        text = _QUOTED_LINE.sub("", text)
+    end = _SIGNATURE.search(text)
+    text = text[: end.start()] if end else text
+    if marked:
+        text = _TAG.sub("", _BREAK.sub("\n", _GONE.sub("", text)))
+    if "&" in text:
+        text = html.unescape(text).replace("\xa0", " ")
+    if not text.isascii():
+        text = _INVISIBLE.sub("", text)
+    if "://" in text or "www." in text:
+        text = _LINK.sub("", text)
+    # a line of a log, a table or code is mostly tokens that hold digits or signs
+    lines = [line for line in text.replace("*", "").split("\n") if not _ODD.search(line) or len(_ODD_TOKEN.findall(line)) <= 0.4 * len(line.split())]
     return "\n".join(lines)
 
 
+class _Words(dict):
+    """Letters and syllables of each word that has been met."""
+
+    def __missing__(self, word: str) -> tuple[int, int]:
+        if len(self) >= 200_000:
+            self.clear()
+        self[word] = found = len(word), max(1, len(_VOWELS.findall(word)) - (word.endswith("e") and not word.endswith("le")))
+        return found
+
+
+_words = _Words()
+
+
 def features(text: str | None) -> tuple[int, bool, list[float]]:
     """Words of a post's own prose, whether it seems English, and the values of NAMES."""
     prose = own_prose(text)
-    words = [w.lower().replace("’", "'") for w in _WORD.findall(prose)]
+    lower = prose.lower()
+    words = _ASCII_WORD.findall(lower) if lower.isascii() else _WORD.findall(lower.replace("’", "'"))
     n = len(words)
     if not n:
         return 0, True, [0.0] * len(NAMES)
-    lengths = np.array([len(w) for w in words], float)
-    syllables = np.array([max(1, len(_VOWELS.findall(w)) - (w.endswith("e") and not w.endswith("le"))) for w in words], float)
-    sentences = max(1, sum(1 for s in _SENTENCE_END.split(prose) if _WORD.search(s)))
-    clauses = max(1, sum(1 for s in _CLAUSE_END.split(prose) if s and _WORD.search(s)))
-    counts: dict[str, int] = {}
-    for w in words:
-        counts[w] = counts.get(w, 0) + 1
-    other = sum(c for w, c in counts.items() if w in _OTHER)
-    plain = sum(counts.get(w, 0) for w in ("the", "and", "to", "of", "that", "it", "was", "my", "with"))
-    ascii_share = sum(w.isascii() for w in words) / n
-    english = ascii_share > 0.8 and other <= max(plain, 0.03 * n)
+    counts = Counter(words)
+    letters = syllables = long_words = many = short = 0
+    for word, times in counts.items():
+        length, heard = _words[word]
+        letters += length * times
+        syllables += heard * times
+        long_words += times * (length >= 10)
+        short += times * (length <= 3)
+        many += times * (heard >= 4)
+    clauses = [sum(1 for c in _CLAUSE_END.split(s) if c and _WORD.search(c)) for s in _SENTENCE_END.split(prose)]
+    clauses = [c for c in clauses if c] or [1]
+    other = sum(counts[w] for w in _OTHER if w in counts)
+    plain = sum(counts[w] for w in _ENGLISH if w in counts)
+    english = sum(times for word, times in counts.items() if word.isascii()) / n > 0.8 and other <= max(plain, 0.03 * n)
     row = [
-        np.log(n / sentences), np.log(n / clauses), prose.count(",") / n, (prose.count(";") + prose.count(":")) / n, sum(c for w, c in counts.items() if w in _SUBORDINATE) / n, counts.get("and", 0) / n,
-        lengths.mean(), (lengths >= 10).mean(), syllables.mean(), (syllables >= 4).mean(), (lengths <= 3).mean(), len(counts) / n**0.75,
-        *[counts.get(w, 0) / n for w in _FUNCTION],
+        math.log(n / len(clauses)), math.log(n / sum(clauses)), sum(clauses) / len(clauses), math.log(max(clauses)), (prose.count("(") + prose.count("—") + prose.count("–")) / len(clauses), prose.count(",") / n, (prose.count(";") + prose.count(":")) / n,
+        letters / n, long_words / n, syllables / n, many / n, short / n, len(counts) / n**0.75,
+        sum(counts[w] for w in _SUBORDINATE if w in counts) / n, counts["and"] / n, *(counts[w] / n for w in _CLOSED),
     ]
-    return n, bool(english), [float(v) for v in row]
+    return n, bool(english), row
 
 
 @dataclass(frozen=True)
@@ -127,7 +195,8 @@ class Ranker:
         return held @ self.weights
 
     def grade(self, values: np.ndarray) -> np.ndarray:
-        return self.levels[np.searchsorted(self.cuts, self.score(values), "right")]
+        """Levels are whole school grades: the nearest one to the mean grade of a score's block."""
+        return np.floor(self.levels[np.searchsorted(self.cuts, self.score(values), "right")] + 0.5)
 
 
 def isotonic(score: np.ndarray, grade: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -204,9 +273,9 @@ def fit(documents: DataFrame, labels: DataFrame, key: str, text: str, grade: str
     if got["_grade"].nunique() < 2:
         return None
     values, grades = np.stack(got["features"].to_numpy()).astype(float), got["_grade"].to_numpy(float)
-    order = np.lexsort((values[:, 0], grades))  # the order that rows arrive in has no say
+    order = np.lexsort((*values.T[::-1], grades))  # the order that rows arrive in has no say
     values, grades = values[order], grades[order]
-    return fit_ranker(values, grades, tuple(range(len(NAMES)))), fit_ranker(values, grades, tuple(range(len(PLAIN))))
+    return fit_ranker(values, grades, tuple(range(values.shape[1]))), fit_ranker(values, grades, tuple(range(len(PLAIN))))
 
 
 def reading_levels(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", grade: str = "grade") -> DataFrame:

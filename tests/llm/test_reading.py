@@ -20,6 +20,20 @@ def test_own_prose():
     assert take("[deleted]") == take("<deleted by user>") == take(None) == take("") == take(" \n ") == ""
 
 
+def test_quotes_of_any_depth():
+    for deep in (1, 49, 60, 3000):
+        assert reading.own_prose("[quote=a]" * deep + "theirs " + "[/quote]" * deep + "\nMine.").split() == ["Mine."]
+        assert reading.own_prose("<blockquote>" * deep + "theirs " + "</blockquote>" * deep + "\nMine.").split() == ["Mine."]
+    assert reading.own_prose("Mine. [quote]a [quote]b[/quote]\n------\nMore.").split() == ["Mine.", "More."]
+    assert reading.own_prose("Mine. [/quote] More.").split() == ["Mine.", "More."]
+    assert reading.own_prose("Mine. [quote]a\n[quote]b\n------\nc[/quote] d").split() == ["Mine."]
+
+
+def test_long_attributions_and_tags():
+    assert reading.own_prose("On " + "a very long day " * 20 + "tidefox wrote:\n> a\nMine.").split() == ["Mine."]
+    assert reading.own_prose('Mine <a href="' + "x" * 900 + '">here</a> [url=' + "y" * 900 + "]too[/url].").split() == ["Mine", "here", "too."]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.floats(-5, 5), st.integers(1, 18)), min_size=1, max_size=40))
 def test_isotonic_is_monotone_and_keeps_the_mean(rows):
