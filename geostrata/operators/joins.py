@@ -56,6 +56,19 @@ def box_search(points: DataFrame, boxes: DataFrame, size: float) -> DataFrame:
     return keyed.join(tiled, ["_tx", "_ty"]).where(inside).drop("_tx", "_ty")
 
 
+def boxes_of(zones: DataFrame, key: str, wkt: str) -> DataFrame:
+    """(box_id, minx, miny, maxx, maxy) of polygons in WKT; of a null, empty or unreadable one there is none, and a key's shapes have one box."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [(k, wkt_bounds(parse_polygons(w))) for k, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if k is not None]
+            held = [(k, b) for k, b in held if b is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in held], pa.int64()), *[pa.array([b[i] for _, b in held], pa.float64()) for i in range(4)]], names=["box_id", "minx", "miny", "maxx", "maxy"])
+
+    found = zones.select(F.col(key).cast("long"), F.col(wkt).cast("string")).mapInArrow(run, "box_id long, minx double, miny double, maxx double, maxy double")
+    return found.groupBy("box_id").agg(F.min("minx").alias("minx"), F.min("miny").alias("miny"), F.max("maxx").alias("maxx"), F.max("maxy").alias("maxy"))
+
+
 def polygon_search(points: DataFrame, key: str, wkt: str) -> DataFrame:
     """Points inside one polygon or multipolygon: those in its box, by columns, and of them the truly inside, by a sweep."""
     shape = parse_polygons(wkt)
@@ -202,6 +215,20 @@ def knn(queries: DataFrame, query_key: str, points: DataFrame, key: str, columns
     return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
+def search_quality(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """(query_id, error, recall) of approximate neighbours (query_id, id, d2) against exact ones (query_id, id, d2, rank).
+
+    error is the mean over ranks of distance / exact distance - 1, 0 where the exact distance is 0; recall the share of
+    the found that are among the exact. Queries and ranks that one side lacks don't count.
+    """
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("d2", "id")))
+    distance = exact.select("query_id", "rank", F.sqrt("d2").alias("_exact"))
+    hit = exact.select("query_id", "id", F.lit(1.0).alias("_hit"))
+    met = ranked.join(distance, ["query_id", "rank"]).join(hit, ["query_id", "id"], "left")
+    off = F.when(F.col("_exact") > 0, F.sqrt("d2") / F.col("_exact") - 1).otherwise(0.0)
+    return met.groupBy("query_id").agg(F.avg(off).alias("error"), F.avg(F.coalesce("_hit", F.lit(0.0))).alias("recall"))
+
+
 def range_count(queries: DataFrame, query_key: str, points: DataFrame, key: str, columns: list[str], radius: float) -> DataFrame:
     """(query_id, n): the number of points within the closed radius, 0 included."""
     found = knn(queries, query_key, points, key, columns, None, radius).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))

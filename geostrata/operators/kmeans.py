@@ -13,16 +13,18 @@ def lloyd_step(points: DataFrame, means: list[tuple[float, ...]], columns: list[
     return points.withColumn("cluster", nearest_mean(points, means, columns)).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in columns])
 
 
-def kmeans(points: DataFrame, k: int, columns: list[str], key: str = "point_id", rounds: int = 100, seed: int = 0) -> tuple[list[tuple[float, ...]], DataFrame]:
-    """(means, points with cluster). Starts from k points chosen by a hash of their keys; ends when no mean moves, or after rounds.
+def kmeans(points: DataFrame, k: int, columns: list[str], key: str = "point_id", rounds: int = 100, seed: int = 0, starts: list[tuple[float, ...]] | None = None) -> tuple[list[tuple[float, ...]], DataFrame]:
+    """(means, points with cluster). Starts from k points chosen by a hash of their keys, or from starts; ends when no mean moves, or after rounds.
 
     A mean without points stays where it is. Points that lack a coordinate take no part.
     """
     held = points
     for c in columns:
         held = held.where(F.col(c).isNotNull() & ~F.isnan(c))
-    start = held.select(*columns, F.xxhash64(F.lit(seed), key).alias("_h")).orderBy("_h", *columns).limit(k).collect()
-    means = [tuple(float(r[c]) for c in columns) for r in start]
+    means = list(starts or ())
+    if not means:
+        start = held.select(*columns, F.xxhash64(F.lit(seed), key).alias("_h")).orderBy("_h", *columns).limit(k).collect()
+        means = [tuple(float(r[c]) for c in columns) for r in start]
     for _ in range(rounds if means else 0):
         moved = list(means)
         for r in lloyd_step(held, means, columns).collect():

@@ -40,6 +40,16 @@ def shuffled(points: DataFrame, seed: int, key: str = "point_id") -> DataFrame:
     return points.orderBy(F.xxhash64(F.lit(seed), key), key)
 
 
+def first_n(points: DataFrame, n: int, order: list[str]) -> DataFrame:
+    """The first n points in an order; each task sends n of them at most."""
+    return points.orderBy(*order).limit(n)
+
+
+def tile_places(tiles: DataFrame) -> DataFrame:
+    """Tiles (minx, miny) with their place in the order of their bounds, by miny and then minx, from 1. Tiles are few beside points: they are numbered in one task."""
+    return tiles.withColumn("place", F.row_number().over(Window.orderBy("miny", "minx")))
+
+
 def assign_ground(points: DataFrame, ground: DataFrame, cls: int = 2) -> DataFrame:
     """All points; those that agree with a ground point in trunc(100 x), trunc(100 y) and trunc(100 z) have the class."""
     code = lambda c: (F.col(c) * 100).cast("long")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cells, registry, sources, surfaces, survey
+from . import cells, details, registry, sources, surfaces, survey
 
-__all__ = ["cells", "oracle_sql", "queries", "sources", "surfaces"]
+__all__ = ["cells", "details", "oracle_sql", "queries", "sources", "surfaces"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -76,3 +76,13 @@ def low(spark: SparkSession, folder: str, top: bool = False) -> DataFrame:
     spec = fine(header(spark, folder))
     held = points(spark, folder).select(F.col("file_id").alias("band"), spec.row(F.col("y")).alias("row"), spec.col(F.col("x")).alias("col"), "x", "y", "z").where((F.col("x") >= spec.tlx) & (F.col("y") <= spec.tly))
     return held.groupBy("band", "row", "col").agg((F.max("z") if top else F.min("z")).alias("value"))
+
+
+def linked_sql(rounds: int = 16) -> str:
+    """CTEs that end in linked(id, f): the smallest id that each node of n(id) is linked to by edges e(a, b), both ways. Each round hooks roots to smaller ones and halves the ways to them."""
+    parts = ["f0 as materialized (select id, id as f from n)"]
+    for i in range(rounds):
+        parts.append(f"g{i} as materialized (select a.id, a.f, b.f as ff from f{i} a join f{i} b on b.id = a.f)")
+        parts.append(f"m{i} as materialized (select e.a as id, min(g.ff) as least from e join g{i} g on g.id = e.b group by e.a)")
+        parts.append(f"f{i + 1} as materialized (select id, min(f) as f from (select g.f as id, m.least as f from m{i} m join g{i} g on g.id = m.id union all select id, least from m{i} union all select id, ff from g{i}) group by id)")
+    return ", ".join([*parts, f"linked as (select id, f from f{rounds})"])

@@ -37,9 +37,9 @@ def source_las_headers(spark: SparkSession, folder: str) -> DataFrame:
     return las.file_stats(spark, out).agg(F.sum("point_count").alias("n"), steady(F.min("min_x")).alias("min_x"), steady(F.max("max_z")).alias("max_z"))
 
 
-@query(f"""with {POINTS}, {GRID}, {LOW} select 1 as band, "row", col, arg_min(value, band) as value from low where "row" < 256 and col < 1024 group by "row", col""")
+@query(f"""with {POINTS}, {GRID}, {LOW} select 1 as band, "row", col, arg_min(value, band) as value from low group by "row", col""")
 def source_tiff(spark: SparkSession, folder: str) -> DataFrame:
-    """The mosaic, written as GeoTIFF tiles and read again. The SQL has the cells of its first tiles alone."""
+    """The mosaic, written as GeoTIFF tiles and read again."""
     spec = fine(header(spark, folder))
     cells = low(spark, folder).groupBy("row", "col").agg(F.min_by("value", "band").alias("value")).select(F.lit(1).alias("band"), "row", "col", "value")
     out = _folder(spark, "tiff")

@@ -13,7 +13,7 @@ from ..operators import focal, interp, joins, kdsplit, kmeans, pathfind, raster,
 from ..session import table
 from ..sources import info
 from ..streaming import finalise
-from .registry import FINE, GRID, LOW, POINTS, fine, header, low, points, query, steady, steady_sql
+from .registry import FINE, GRID, LOW, POINTS, fine, header, linked_sql, low, points, query, steady, steady_sql
 
 WITH = f"with {POINTS}, {GRID}, {LOW}"
 
@@ -159,12 +159,12 @@ def knn_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("query_id").alias("vec_id"), F.col("id").alias("other"), F.col("rank").cast("int").alias("rank"))
 
 
-@query(f"""with {POINTS}, b as (select zone_id as box_id, 400000 + 640.0 * (zone_id % 8) + 60 as minx, 5999400.0 as miny, 400000 + 640.0 * (zone_id % 8) + 200 as maxx, 5999520.0 as maxy from survey_zone)
+@query(f"""with {POINTS}, c as (select zone_id, unnest(regexp_extract_all(wkt, '(-?[0-9.]+)\\s+(-?[0-9.]+)', 1))::double as x, unnest(regexp_extract_all(wkt, '(-?[0-9.]+)\\s+(-?[0-9.]+)', 2))::double as y from survey_zone where wkt is not null),
+  b as (select zone_id as box_id, min(x) as minx, min(y) as miny, max(x) as maxx, max(y) as maxy from c group by 1)
   select box_id, count(*) as n, max(z) as top from b, pts where x >= minx and x < maxx and y >= miny and y < maxy group by box_id""")
 def box_search(spark: SparkSession, folder: str) -> DataFrame:
-    at = 400000 + 640.0 * (F.col("zone_id") % 8)
-    boxes = table(spark, folder, "survey_zone").select(F.col("zone_id").alias("box_id"), (at + 60).alias("minx"), F.lit(5999400.0).alias("miny"), (at + 200).alias("maxx"), F.lit(5999520.0).alias("maxy"))
-    return joins.box_search(points(spark, folder), boxes, 100.0).groupBy("box_id").agg(F.count(F.lit(1)).alias("n"), F.max("z").alias("top"))
+    """The points in the box of each zone."""
+    return joins.box_search(points(spark, folder), joins.boxes_of(table(spark, folder, "survey_zone"), "zone_id", "wkt"), 100.0).groupBy("box_id").agg(F.count(F.lit(1)).alias("n"), F.max("z").alias("top"))
 
 
 @query(f"""with {POINTS} select point_id from pts where x > 400050.0005 and x <= 400200 and y > 5999400.0002 and x + y < 400250.0005 + 5999400.0002 and not (x > 400080.0005 and x < 400100.0005 and y > 5999420.0002 and y < 5999440.0002)""")
@@ -173,10 +173,11 @@ def polygon_search(spark: SparkSession, folder: str) -> DataFrame:
     return joins.polygon_search(points(spark, folder), "point_id", "POLYGON ((400050.0005 5999400.0002, 400250.0005 5999400.0002, 400050.0005 5999600.0002, 400050.0005 5999400.0002), (400080.0005 5999420.0002, 400100.0005 5999420.0002, 400100.0005 5999440.0002, 400080.0005 5999440.0002, 400080.0005 5999420.0002))").join(points(spark, folder).where("x <= 400200").select("point_id"), "point_id")
 
 
-@query("""with t as (select distinct cast(floor(min_x / 500) as bigint) as tile_id from pc_file where min_x is not null and not isnan(min_x)), b as (select tile_id, tile_id * 500.0 as minx, 5999000.0 as miny, (tile_id + 1) * 500.0 as maxx, 5999500.0 as maxy from t)
-  select distinct tile_id, file_id from b, pc_file where min_x is not null and not isnan(min_x) and min_x < maxx + 20 and max_x > minx - 20 and min_y < maxy + 20 and max_y > miny - 20""")
+@query("""with f as (select distinct file_id, min_x, min_y, max_x, max_y from pc_file where min_x is not null and min_y is not null and max_x is not null and max_y is not null and not isnan(min_x) and not isnan(min_y) and not isnan(max_x) and not isnan(max_y)),
+  t as (select distinct c, r from (select *, unnest(range(cast(floor(min_x / 500) as bigint), cast(floor(max_x / 500) as bigint) + 1)) as c from f), unnest(range(cast(floor(min_y / 500) as bigint), cast(floor(max_y / 500) as bigint) + 1)) u(r))
+  select distinct c + (r - 11998) * 4294967296 as tile_id, file_id from t, f where min_x < c * 500 + 520 and max_x > c * 500 - 20 and min_y < r * 500 + 520 and max_y > r * 500 - 20""")
 def tile_files(spark: SparkSession, folder: str) -> DataFrame:
-    """The tiles of all that the files cover. The SQL has those of the row at y 5999000 alone; tiles of that row have the same ids, the others 2^32 more for each row upward."""
+    """The tiles of all that the files cover, with the files that meet them."""
     files = table(spark, folder, "pc_file")
     span = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / 500).cast("long"), F.floor(F.col(high) / 500).cast("long")))
     held = files.where(kdsplit.present(*[F.col(c) for c in ("min_x", "min_y", "max_x", "max_y")]) & (F.col("min_x") <= F.col("max_x")) & (F.col("min_y") <= F.col("max_y")))
@@ -198,7 +199,7 @@ def kmeans_step(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def kmeans_points(spark: SparkSession, folder: str) -> DataFrame:
     """Sizes of eight clusters in plan."""
-    return kmeans.kmeans(points(spark, folder), 8, ["x", "y"], rounds=10)[1].groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    return kmeans.kmeans(points(spark, folder), 8, ["x", "y"])[1].groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
 
 
 _FLIGHT = f"""with {POINTS}, p as (select point_id, flight_id, gps_time as t from pts join pc_file on pts.file_id = pc_file.file_id where flight_id is not null),
@@ -244,13 +245,12 @@ def focal_gaussian(spark: SparkSession, folder: str) -> DataFrame:
     return focal.gaussian_smooth(low(spark, folder), 5, 0.8).withColumn("value", steady(F.col("value")))
 
 
-#: Frames of the files. The SQL leaves out file 1, the mosaic; the queries take it like any other.
-_EXTENT = 'ext as (select band, min("row") as r0, max("row") as r1, min(col) as c0, max(col) as c1 from low where band <> 1 group by band)'
-_VOIDS = f"""{_EXTENT}, frame as (select band, r0, r1, c0, c1, cast(r as integer) as "row", cast(c as integer) as col from ext, unnest(range(r0, r1 + 1)) a(r), unnest(range(c0, c1 + 1)) b(c)),
-  void as (select f.band, f."row", f.col, r0, r1, c0, c1 from frame f left join low l on f.band = l.band and f."row" = l."row" and f.col = l.col where l.value is null)"""
-_REACH = """reach(band, "row", col, r, c) as (select band, "row", col, "row", col from void union
-  select v.band, v."row", v.col, q.r, q.c from reach q join void v on v.band = q.band and abs(v."row" - q."row") + abs(v.col - q.col) = 1)"""
-_LABEL = 'label as (select band, "row", col, min(r * 2147483648 + c) as region from reach group by 1, 2, 3)'
+_EXTENT = 'ext as (select band, min("row") as r0, max("row") as r1, min(col) as c0, max(col) as c1 from low group by band)'
+_VOIDS = f"""{_EXTENT}, frame as (select band, r0, r1, c0, c1, cast(r as integer) as "row", cast(c as integer) as col from (select *, unnest(range(r0, r1 + 1)) as r from ext), unnest(range(c0, c1 + 1)) b(c)),
+  n as materialized (select f.band, f."row", f.col, row_number() over (order by f.band, f."row", f.col) as id from frame f left join low l on f.band = l.band and f."row" = l."row" and f.col = l.col where l.value is null),
+  e1 as (select p.id as a, q.id as b from n p join n q on q.band = p.band and q."row" = p."row" + 1 and q.col = p.col union all select p.id, q.id from n p join n q on q.band = p.band and q."row" = p."row" and q.col = p.col + 1),
+  e as materialized (select a, b from e1 union all select b, a from e1), {linked_sql()}"""
+_LABEL = 'label as (select n.band, n."row", n.col, o."row" * 2147483648 + o.col as region from linked l join n on n.id = l.id join n o on o.id = l.f)'
 
 
 def _frames(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -265,18 +265,18 @@ def _voids(spark: SparkSession, folder: str) -> DataFrame:
     return cells.join(held.drop("value"), ["band", "row", "col"], "left_anti").withColumn("value", F.lit(1.0))
 
 
-@query(f"""with recursive {POINTS}, {GRID}, {LOW}, {_VOIDS}, {_REACH}, {_LABEL} select band, "row", col, cast(region as bigint) as region from label""")
+@query(f"""with {POINTS}, {GRID}, {LOW}, {_VOIDS}, {_LABEL} select band, "row", col, cast(region as bigint) as region from label""")
 def region_components(spark: SparkSession, folder: str) -> DataFrame:
     """The regions of cells without data, inside each file's frame."""
     return regions.components(_voids(spark, folder)).select("band", "row", "col", "region")
 
 
-@query(f"""with recursive {POINTS}, {GRID}, {LOW}, {_VOIDS}, {_REACH}, {_LABEL} select band, cast(region as bigint) as region, min("row") as min_row, max("row") as max_row, min(col) as min_col, max(col) as max_col, count(*) as area from label group by band, region""")
+@query(f"""with {POINTS}, {GRID}, {LOW}, {_VOIDS}, {_LABEL} select band, cast(region as bigint) as region, min("row") as min_row, max("row") as max_row, min(col) as min_col, max(col) as max_col, count(*) as area from label group by band, region""")
 def region_bbox(spark: SparkSession, folder: str) -> DataFrame:
     return regions.boxes(regions.components(_voids(spark, folder))).drop("value")
 
 
-@query(f"""with recursive {POINTS}, {GRID}, {LOW}, {_VOIDS}, {_REACH}, {_LABEL},
+@query(f"""with {POINTS}, {GRID}, {LOW}, {_VOIDS}, {_LABEL},
   box as (select l.band, region, min("row") as a, max("row") as b, min(col) as c, max(col) as d from label l group by 1, 2), hole as (select box.* from box join ext on box.band = ext.band where a > r0 and b < r1 and c > c0 and d < c1)
   select l.band, l."row", l.col, {steady_sql("sum(power(1.0 / (power(l.row - v.row, 2) + power(l.col - v.col, 2)), 2) * value) / sum(power(1.0 / (power(l.row - v.row, 2) + power(l.col - v.col, 2)), 2))")} as value
   from label l join hole h on l.band = h.band and l.region = h.region join low v on v.band = h.band and v."row" between a - 1 and b + 1 and v.col between c - 1 and d + 1 group by 1, 2, 3""")

@@ -46,6 +46,11 @@ def write_doubles(rows: np.ndarray, path: str) -> None:
 
 
 def write_sbet(trajectory: DataFrame, source: str, folder: str, tasks: int) -> DataFrame:
+    """write_records of SBET records."""
+    return write_records(trajectory, source, folder, tasks, SBET)
+
+
+def write_records(trajectory: DataFrame, source: str, folder: str, tasks: int, names: tuple[str, ...]) -> DataFrame:
     """Writes the records of each source in the order of time into files of a shared folder; gives (file, records).
 
     The rows are laid out by ranges of source and time, so that a long flight becomes several files, in their order, and
@@ -60,15 +65,15 @@ def write_sbet(trajectory: DataFrame, source: str, folder: str, tasks: int) -> D
             return
         rows = pa.Table.from_batches(held)
         sources = rows.column(0).to_numpy()
-        values = np.column_stack([rows.column(1 + i).to_numpy() for i in range(len(SBET))])
+        values = np.column_stack([rows.column(1 + i).to_numpy() for i in range(len(names))])
         os.makedirs(folder, exist_ok=True)
         for one in np.unique(sources):
             part = values[sources == one]
-            path = os.path.join(folder, f"{one}-{part[0, 0]:020.6f}-{uuid.uuid4().hex}.sbet")
+            path = os.path.join(folder, f"{one}-{part[0, 0]:020.6f}-{uuid.uuid4().hex}.{"sbet" if names == SBET else "smrmsg"}")
             write_doubles(part, path)
             yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([len(part)])], names=["file", "records"])
 
-    held = trajectory.select(F.col(source).cast("long").alias("_source"), *[F.col(c).cast("double") for c in SBET])
+    held = trajectory.select(F.col(source).cast("long").alias("_source"), *[F.col(c).cast("double") for c in names])
     return held.repartitionByRange(tasks, "_source", "time_s").sortWithinPartitions("_source", "time_s").mapInArrow(run, "file string, records long")
 
 
