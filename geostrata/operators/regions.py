@@ -8,6 +8,7 @@ which are as many as border cells and not as cells.
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -111,16 +112,19 @@ def components(raster: DataFrame, diagonal: bool = False, tile: int = TILE) -> D
         return pa.table({"band": np.full(kept.sum(), band, np.int32), "row": rows[kept], "col": cols[kept], "value": values[kept], "name": name[kept], "tile": np.full(kept.sum(), tr * (1 << 31) + tc), "own": own[kept], "edge": edge[kept]})
 
     labelled = cut(spread.groupBy("band", "tile_row", "tile_col").applyInArrow(label, "band int, row int, col int, value double, name long, tile long, own boolean, edge boolean"))
-    # a node is a region of a tile; a border cell says which regions of tiles are one
-    # (told apart by 64 bits of a hash)
-    node = F.xxhash64("band", "tile", "name")
-    shared = labelled.where("edge").select("band", "row", "col", "tile", "name", node.alias("node"))
-    pairs = shared.withColumn("to", F.min("node").over(Window.partitionBy("band", "row", "col"))).where("node <> to").select(F.col("node").alias("a"), F.col("to").alias("b")).distinct()
-    roots = connect(pairs)
-    names = shared.select("node", "name").distinct().join(roots, "node")
-    final = names.withColumn("region", F.min("name").over(Window.partitionBy("root"))).select("node", "region")
-    own = labelled.where("own").withColumn("node", node)
-    return own.join(final, "node", "left").select("band", "row", "col", "value", F.coalesce("region", "name").alias("region"))
+    final = _join_tiles(labelled.where("edge").select("band", "row", "col", "tile", "name"))
+    own = labelled.where("own")
+    return own.join(final, ["band", "tile", "name"], "left").select("band", "row", "col", "value", F.coalesce("region", "name").alias("region"))
+
+
+def _join_tiles(shared: DataFrame) -> DataFrame:
+    """(band, tile, name, region): the region of each region of a tile that has border cells (band, row, col, tile, name). A border cell says which of them are one."""
+    keys = ["band", "tile", "name"]
+    nodes = cut(shared.select(*keys).distinct().withColumn("node", F.monotonically_increasing_id()))
+    at = shared.join(nodes, keys).select("band", "row", "col", "node")
+    pairs = at.withColumn("to", F.min("node").over(Window.partitionBy("band", "row", "col"))).where("node <> to").select(F.col("node").alias("a"), F.col("to").alias("b")).distinct()
+    joined = nodes.join(connect(pairs), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return joined.withColumn("region", F.min("name").over(Window.partitionBy("root"))).select(*keys, "region")
 
 
 def boxes(labelled: DataFrame) -> DataFrame:
@@ -137,28 +141,117 @@ def flood_fill(raster: DataFrame, row: int, col: int, target: Column, value: flo
     return raster.join(filled, ["band", "row", "col"], "left").select("band", "row", "col", F.coalesce("_new", "value").alias("value"))
 
 
+def _void_tiles(data: DataFrame, frame: DataFrame, tile: int, wanted: DataFrame | None = None) -> DataFrame:
+    """The cells without data of each tile of each band's frame, labelled where they lie: no void is a row before it must be one.
+
+    Without wanted: (kind, band, tile_row, tile_col, name, row, col, max_row, max_col), for each region of a tile its box
+    (kind 0) and its border cells (kind 1). With wanted, (band, tile_row, tile_col, names, regions): the own cells of these.
+    """
+    span = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / tile).cast("int"), F.floor(F.col(high) / tile).cast("int")))
+    tiles = frame.withColumn("tile_row", span("min_row", "max_row")).withColumn("tile_col", span("min_col", "max_col"))
+    keys = ["band", "tile_row", "tile_col"]
+    if wanted is not None:
+        tiles = tiles.join(wanted, keys)
+    shared = lambda c: F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col(c) - 1) / tile)).cast("int"), F.floor(F.col(c) / tile).cast("int")))
+    held = data.select("band", "row", "col").withColumn("tile_row", shared("row")).withColumn("tile_col", shared("col"))
+    names = ["kind", *keys, "name", "row", "col", "max_row", "max_col"]
+    summary = wanted is None
+
+    def label(cells: pa.Table, one: pa.Table) -> pa.Table:
+        parts: list[tuple] = []
+        if len(one):
+            f = {c: one.column(c)[0].as_py() for c in one.column_names}
+            r0, r1 = max(f["min_row"], f["tile_row"] * tile), min(f["max_row"], (f["tile_row"] + 1) * tile)
+            c0, c1 = max(f["min_col"], f["tile_col"] * tile), min(f["max_col"], (f["tile_col"] + 1) * tile)
+            void = np.ones((r1 - r0 + 1, c1 - c0 + 1), bool)
+            if len(cells):
+                r, c = cells.column("row").to_numpy(), cells.column("col").to_numpy()
+                inside = (r >= r0) & (r <= r1) & (c >= c0) & (c <= c1)
+                void[r[inside] - r0, c[inside] - c0] = False
+            r, c = np.nonzero(void)
+            r, c = r + r0, c + c0
+            if len(r):
+                code = r.astype(np.int64) << _COL_BITS | c
+                of, at = np.unique(_label_tile(r, c, np.zeros(len(r)), False), return_inverse=True)
+                name = np.full(len(of), np.iinfo(np.int64).max)
+                np.minimum.at(name, at, code)
+                if summary:
+                    low, high = np.full((2, len(of)), np.iinfo(np.int32).max), np.full((2, len(of)), -1)
+                    for k, v in enumerate((r, c)):
+                        np.minimum.at(low[k], at, v)
+                        np.maximum.at(high[k], at, v)
+                    edge = (r % tile == 0) | (c % tile == 0)
+                    parts = [(0, name, low[0], low[1], high[0], high[1]), (1, name[at[edge]], r[edge], c[edge], r[edge], c[edge])]
+                else:
+                    region = dict(zip(f["names"], f["regions"], strict=True))
+                    to = np.array([region.get(n, -1) for n in name.tolist()], np.int64)[at]
+                    own = (to >= 0) & (r // tile == f["tile_row"]) & (c // tile == f["tile_col"])
+                    parts = [(2, to[own], r[own], c[own], r[own], c[own])]
+        sizes = [len(p[1]) for p in parts]
+        n = sum(sizes)
+        whole = lambda v: np.full(n, v, np.int32)
+        flat = [np.concatenate([np.zeros(0, np.int64), *(p[k] for p in parts)]) for k in range(1, 6)]
+        key = [one.column(c)[0].as_py() if len(one) else 0 for c in keys]
+        return pa.table(dict(zip(names, [np.repeat([p[0] for p in parts], sizes).astype(np.int32), *(whole(k) for k in key), flat[0], *(v.astype(np.int32) for v in flat[1:])], strict=True)))
+
+    return held.groupBy(*keys).cogroup(tiles.groupBy(*keys)).applyInArrow(label, "kind int, band int, tile_row int, tile_col int, name long, row int, col int, max_row int, max_col int")
+
+
+#: Side of the squares of cells that a hole and the data around it are cut into to be weighed.
+WEIGH = 64
+
+
+def _weigh(r: np.ndarray, c: np.ndarray, u: np.ndarray, v: np.ndarray, value: np.ndarray, exponent: float) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of weights, and of weights times values, at cells (r, c) over cells (u, v): cell by cell, or, of two full squares, as a convolution."""
+    kernel = lambda d2: np.where(d2 > 0, np.maximum(d2, 1.0) ** -exponent, 0.0)
+    if len(r) * len(u) <= 2_000_000:
+        w = kernel((r[:, None] - u[None, :]).astype(float) ** 2 + (c[:, None] - v[None, :]).astype(float) ** 2)
+        return w.sum(1), w @ value
+    r0, c0, u0, v0 = r.min(), c.min(), u.min(), v.min()
+    n = 2 * WEIGH
+    step = np.arange(n) - WEIGH + 1
+    at = kernel((step + (r0 - u0))[:, None].astype(float) ** 2 + (step + (c0 - v0))[None, :].astype(float) ** 2)
+    fields = np.zeros((2, n, n))
+    fields[0, u - u0, v - v0], fields[1, u - u0, v - v0] = 1.0, value
+    found = np.fft.irfft2(np.fft.rfft2(fields) * np.fft.rfft2(at), s=(n, n))
+    return tuple(np.maximum(f, 0.0) if k == 0 else f for k, f in enumerate(found[:, r - r0 + WEIGH - 1, c - c0 + WEIGH - 1]))
+
+
 def void_fill(raster: DataFrame, extents: DataFrame, exponent: float = 2.0, tile: int = TILE) -> DataFrame:
     """(band, row, col, value): the cells of holes, filled.
 
     extents gives each band's frame (band, min_row, max_row, min_col, max_col). A hole is a 4-connected region without data
     that does not touch the frame's edge; each of its cells gets the mean of all cells with data in the hole's box grown by
-    1, weighted by (1 / squared distance) to the exponent.
+    1, weighted by (1 / squared distance) to the exponent. Voids are found by tile and become rows only where they are
+    holes; a hole and the data of its box are weighed by pairs of squares of cells, each pair a row of arrays.
     """
     frame = extents.select("band", "min_row", "max_row", "min_col", "max_col")
-    # rows are spread over the tasks before they become cells, for a frame is one row
-    all_cells = frame.withColumn("row", F.explode(F.sequence("min_row", "max_row"))).repartition("band", "row").withColumn("col", F.explode(F.sequence("min_col", "max_col"))).select("band", "row", "col")
     data = raster.where(F.col("value").isNotNull()).select("band", "row", "col", F.col("value").cast("double").alias("value"))
-    voids = all_cells.join(data.select("band", "row", "col"), ["band", "row", "col"], "left_anti").withColumn("value", F.lit(0.0))
-    regions = cut(components(voids, tile=tile))
-    box = boxes(regions).drop("value")
-    inner = box.alias("b").join(frame.alias("f"), "band").where("b.min_row > f.min_row and b.max_row < f.max_row and b.min_col > f.min_col and b.max_col < f.max_col").select("band", "region", "b.min_row", "b.max_row", "b.min_col", "b.max_col")
-    # the ring and the inside of each box meet the data by an equality of cells, not by a range
-    near = inner.withColumn("row", F.explode(F.sequence(F.col("min_row") - 1, F.col("max_row") + 1))).withColumn("col", F.explode(F.sequence(F.col("min_col") - 1, F.col("max_col") + 1))).select("band", "region", "row", "col")
-    known = near.join(data, ["band", "row", "col"]).select("band", "region", F.col("row").alias("_r"), F.col("col").alias("_c"), "value")
-    holes = regions.join(inner.select("band", "region"), ["band", "region"]).select("band", "region", "row", "col")
-    d2 = F.pow((F.col("row") - F.col("_r")).cast("double"), 2) + F.pow((F.col("col") - F.col("_c")).cast("double"), 2)
-    weight = F.pow(1 / d2, F.lit(exponent))
-    return holes.join(known, ["band", "region"]).groupBy("band", "row", "col").agg((F.sum(weight * F.col("value")) / F.sum(weight)).alias("value"))
+    found = cut(_void_tiles(data, frame, tile))
+    number = (F.col("tile_row").cast("long") * (1 << 31) + F.col("tile_col")).alias("tile")
+    final = _join_tiles(found.where("kind = 1").select("band", "row", "col", number, "name"))
+    parts = found.where("kind = 0").withColumn("tile", number).join(final, ["band", "tile", "name"], "left").withColumn("region", F.coalesce("region", "name"))
+    box = parts.groupBy("band", "region").agg(F.min("row").alias("a"), F.max("max_row").alias("b"), F.min("col").alias("c"), F.max("max_col").alias("d"))
+    inner = cut(box.join(frame, "band").where("a > min_row and b < max_row and c > min_col and d < max_col").select("band", "region", "a", "b", "c", "d"))
+    names = parts.join(inner.select("band", "region"), ["band", "region"]).groupBy("band", "tile_row", "tile_col").agg(F.collect_list("name").alias("names"), F.collect_list("region").alias("regions"))
+    holes = _void_tiles(data, frame, tile, names).select("band", F.col("name").alias("region"), "row", "col")
+    # the inside of each box meets the data by an equality of cells, not by a range
+    near = inner.withColumn("row", F.explode(F.sequence(F.col("a") - 1, F.col("b") + 1))).withColumn("col", F.explode(F.sequence(F.col("c") - 1, F.col("d") + 1))).select("band", "region", "row", "col")
+    known = near.join(data, ["band", "row", "col"])
+    square = lambda c: F.floor(F.col(c) / WEIGH).cast("int")
+    by = ["band", "region", "i", "j"]
+    hole_squares = holes.withColumns({"i": square("row"), "j": square("col")}).groupBy(*by).agg(F.collect_list(F.struct("row", "col")).alias("hole"))
+    data_squares = known.withColumns({"i": square("row"), "j": square("col")}).groupBy(*by).agg(F.collect_list(F.struct("row", "col", "value")).alias("known"))
+    pairs = hole_squares.join(data_squares.withColumnsRenamed({"i": "k", "j": "l"}), ["band", "region"]).select("band", "hole.row", "hole.col", F.col("known.row").alias("u"), F.col("known.col").alias("v"), "known.value")
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                r, c, u, v, value = (batch.column(i)[k].values.to_numpy(zero_copy_only=False) for i in range(1, 6))
+                weight, sums = _weigh(r, c, u, v, value, exponent)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), batch.column(0)[k].as_py(), np.int32)), pa.array(r), pa.array(c), pa.array(weight), pa.array(sums)], names=["band", "row", "col", "w", "s"])
+
+    return pairs.mapInArrow(weigh, "band int, row int, col int, w double, s double").groupBy("band", "row", "col").agg((F.sum("s") / F.sum("w")).alias("value"))
 
 
 def sessions(raster: DataFrame) -> DataFrame:

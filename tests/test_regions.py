@@ -88,3 +88,43 @@ def test_least_cost_path():
     length, path = pathfind.astar(cost, (0, 0), (0, 4))
     assert path[0] == (0, 4) and path[-1] == (0, 0) and (4, 2) in path and np.isclose(length, 4 * 2**0.5 + 4)
     assert pathfind.astar(cost, (0, 0), (0, 2))[1] == [] and pathfind.astar(cost, (0, 0), (0, 4), most=3.0)[1] == []
+
+
+@pytest.mark.parametrize("tile", [16, 512])
+def test_large_holes_against_brute_force(spark, tile):
+    rng = np.random.default_rng(5)
+    grid = np.where(rng.random((90, 100)) < 0.4, rng.random((90, 100)) * 9, np.nan)
+    grid[20:70, 15:85] = np.nan
+    grid[19:71, [14, 85]] = 1.0
+    grid[[19, 70], 14:86] = 2.0
+    cells = [(1, int(r), int(c), float(grid[r, c])) for r, c in zip(*np.nonzero(~np.isnan(grid)), strict=True)]
+    frame_ = spark.createDataFrame([(1, 0, 89, 0, 99)], "band int, min_row int, max_row int, min_col int, max_col int")
+    got = {(r["row"], r["col"]): r["value"] for r in regions.void_fill(spark.createDataFrame(cells, SCHEMA), frame_, 2.0, tile).collect()}
+    label = brute(np.isnan(grid).tolist(), False)
+    holes = {}
+    for (r, c), region in label.items():
+        if np.isnan(grid[r, c]):
+            holes.setdefault(region, []).append((r, c))
+    want = {}
+    for held in holes.values():
+        r, c = np.array(held).T
+        if r.min() == 0 or c.min() == 0 or r.max() == 89 or c.max() == 99:
+            continue
+        u, v = np.nonzero(~np.isnan(grid[r.min() - 1 : r.max() + 2, c.min() - 1 : c.max() + 2]))
+        u, v = u + r.min() - 1, v + c.min() - 1
+        for a, b in held:
+            w = 1.0 / ((u - a) ** 2 + (v - b) ** 2) ** 2
+            want[a, b] = (w * grid[u, v]).sum() / w.sum()
+    assert got.keys() == want.keys() and len(want) > 3500
+    assert max(abs(got[k] - x) for k, x in want.items()) < 1e-9
+
+
+def test_squares_are_weighed_alike_cell_by_cell_and_as_a_convolution(monkeypatch):
+    rng = np.random.default_rng(6)
+    cells = np.argwhere(rng.random((64, 64)) < 0.5)
+    other = np.argwhere(rng.random((64, 64)) < 0.6) + [64, 0]
+    value = rng.random(len(other)) * 500
+    fast = regions._weigh(*cells.T, *other.T, value, 2.0)
+    parts = [regions._weigh(*p.T, *other.T, value, 2.0) for p in np.array_split(cells, 8)]
+    slow = [np.concatenate([p[k] for p in parts]) for k in (0, 1)]
+    assert np.abs(fast[1] / fast[0] - slow[1] / slow[0]).max() < 1e-5
