@@ -264,15 +264,27 @@ def _triples(n: int) -> np.ndarray:
     return np.array(list(combinations(range(n), 3)), np.int64)
 
 
-def _few_triangles(p: np.ndarray) -> np.ndarray:
-    """All triples whose circumcircle holds no other point. Points are moved by a ten-millionth of the extent, so that no four lie on a circle."""
-    n = len(p)
-    i = np.arange(n)
-    q = (p - p.mean(0)) / max(float(np.ptp(p, axis=0).max()), 1e-9) + 1e-7 * np.column_stack([np.sin(i * 12.9898), np.cos(i * 78.233)])
-    t = _triples(n)
+#: Twice the area, of the extent as a square, under which a triangle is a sliver along the hull and no face.
+_SLIVER = 1e-6
+
+
+def _apart(p: np.ndarray) -> np.ndarray:
+    """Points moved by a ten-millionth of the extent, so that no four lie on a circle and no three on a line."""
+    i = np.arange(len(p))
+    return (p - p.mean(0)) / max(float(np.ptp(p, axis=0).max()), 1e-9) + 1e-7 * np.column_stack([np.sin(i * 12.9898), np.cos(i * 78.233)])
+
+
+def _turn(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Twice the signed area of triangles, positive if their corners run counterclockwise."""
+    return (b[..., 0] - a[..., 0]) * (c[..., 1] - a[..., 1]) - (b[..., 1] - a[..., 1]) * (c[..., 0] - a[..., 0])
+
+
+def _few_triangles(q: np.ndarray) -> np.ndarray:
+    """All triples whose circumcircle holds no other point."""
+    t = _triples(len(q))
     a, b, c = q[t[:, 0]], q[t[:, 1]], q[t[:, 2]]
-    d = 2 * (a[:, 0] * (b[:, 1] - c[:, 1]) + b[:, 0] * (c[:, 1] - a[:, 1]) + c[:, 0] * (a[:, 1] - b[:, 1]))
-    wide = np.abs(d) > 1e-6  # slivers along the hull are no faces
+    d = 2 * _turn(a, b, c)
+    wide = np.abs(d) > 2 * _SLIVER
     t, a, b, c, d = t[wide], a[wide], b[wide], c[wide], d[wide]
     far = (q * q).sum(1)
     fa, fb, fc = far[t[:, 0]], far[t[:, 1]], far[t[:, 2]]
@@ -283,39 +295,40 @@ def _few_triangles(p: np.ndarray) -> np.ndarray:
     return t[(power >= (own - 1e-12 * np.maximum(1, np.abs(own)))[:, None]).all(1)]
 
 
+def _inserted_triangles(q: np.ndarray) -> np.ndarray:
+    """The same by inserting point after point. Each edge of the hull has a triangle on its outer side, whose third corner n is nowhere; its circle is the half plane out there."""
+    n = len(q)
+    i1 = int(np.argmax(((q - q[0]) ** 2).sum(1)))
+    i2 = int(np.argmax(np.abs(_turn(q[0], q[i1], q))))
+    a, b, c = (0, i1, i2) if _turn(q[0], q[i1], q[i2]) > 0 else (0, i2, i1)
+    triangles = np.array([[a, b, c], [b, a, n], [c, b, n], [a, c, n]])
+    held = np.vstack([q, [[0.0, 0.0]]])
+    for i in range(1, n):
+        if i in (i1, i2):
+            continue
+        u, v, w = (held[triangles[:, k]] - q[i] for k in range(3))
+        uu, vv, ww = (u * u).sum(1), (v * v).sum(1), (w * w).sum(1)
+        inside = u[:, 0] * (v[:, 1] * ww - w[:, 1] * vv) - u[:, 1] * (v[:, 0] * ww - w[:, 0] * vv) + uu * (v[:, 0] * w[:, 1] - v[:, 1] * w[:, 0])
+        outer = triangles[:, 2] == n
+        bad = np.where(outer, u[:, 0] * v[:, 1] - u[:, 1] * v[:, 0], inside) > 0
+        gone = triangles[bad]
+        edges = np.vstack([gone[:, [0, 1]], gone[:, [1, 2]], gone[:, [2, 0]]])
+        rim = edges[~np.isin(edges[:, 0] * (n + 1) + edges[:, 1], edges[:, 1] * (n + 1) + edges[:, 0])]
+        new = np.column_stack([rim, np.full(len(rim), i)])
+        new[rim[:, 0] == n] = new[rim[:, 0] == n][:, [1, 2, 0]]
+        new[rim[:, 1] == n] = new[rim[:, 1] == n][:, [2, 0, 1]]
+        triangles = np.vstack([triangles[~bad], new])
+    found = triangles[triangles[:, 2] < n]
+    return found[np.abs(_turn(q[found[:, 0]], q[found[:, 1]], q[found[:, 2]])) > _SLIVER]
+
+
 def delaunay(points: np.ndarray) -> np.ndarray:
-    """Triangles (index triples) of plane points: of a few by testing all triples, of more by insertion with circumcircle tests."""
+    """Triangles (index triples) of plane points: of a few by testing all triples, of more by insertion; the faces are the same."""
     p = np.asarray(points, float)
-    n = len(p)
-    if n < 3:
+    if len(p) < 3:
         return np.zeros((0, 3), int)
-    if n <= FEW_POINTS:
-        return _few_triangles(p)
-    middle, size = p.mean(0), max(float(np.ptp(p, axis=0).max()), 1e-9)
-    q = np.vstack([(p - middle) / size, [[-30.0, -30.0], [30.0, -30.0], [0.0, 45.0]]])
-    triangles = np.array([[n, n + 1, n + 2]])
-
-    def circles(t: np.ndarray) -> np.ndarray:
-        a, b, c = q[t[:, 0]], q[t[:, 1]], q[t[:, 2]]
-        d = 2 * (a[:, 0] * (b[:, 1] - c[:, 1]) + b[:, 0] * (c[:, 1] - a[:, 1]) + c[:, 0] * (a[:, 1] - b[:, 1]))
-        d = np.where(np.abs(d) < 1e-14, 1e-14, d)
-        sa, sb, sc = (a * a).sum(1), (b * b).sum(1), (c * c).sum(1)
-        x = (sa * (b[:, 1] - c[:, 1]) + sb * (c[:, 1] - a[:, 1]) + sc * (a[:, 1] - b[:, 1])) / d
-        y = (sa * (c[:, 0] - b[:, 0]) + sb * (a[:, 0] - c[:, 0]) + sc * (b[:, 0] - a[:, 0])) / d
-        return np.column_stack([x, y, (x - a[:, 0]) ** 2 + (y - a[:, 1]) ** 2])
-
-    round_ = circles(triangles)
-    for i in range(n):
-        bad = ((q[i] - round_[:, :2]) ** 2).sum(1) < round_[:, 2] * (1 + 1e-12)
-        if not bad.any():
-            continue
-        edges = np.vstack([triangles[bad][:, [0, 1]], triangles[bad][:, [1, 2]], triangles[bad][:, [2, 0]]])
-        code = np.sort(edges, axis=1) @ np.array([n + 3, 1])
-        _, first, times = np.unique(code, return_index=True, return_counts=True)
-        rim = edges[first[times == 1]]
-        new = np.column_stack([rim, np.full(len(rim), i)])
-        triangles, round_ = np.vstack([triangles[~bad], new]), np.vstack([round_[~bad], circles(new)])
-    return triangles[(triangles < n).all(1)]
+    q = _apart(p)
+    return _few_triangles(q) if len(p) <= FEW_POINTS else _inserted_triangles(q)
 
 
 def plane_normal(points: np.ndarray) -> np.ndarray:

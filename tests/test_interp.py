@@ -45,6 +45,15 @@ def test_rbf_passes_through_its_points():
         assert np.allclose(interp.Rbf(x, y, z, kernel, sigma=0.5, span=0.5)(x, y), z, atol=1e-6), kernel
 
 
+def test_both_triangulations_have_the_same_faces(monkeypatch):
+    rng = np.random.default_rng(4)
+    faces = lambda t: {tuple(sorted(f)) for f in t.tolist()}
+    for n in (3, 4, 8, 29, 30, 31, 36):
+        for points in (rng.random((n, 2)), np.round(rng.random((n, 2)) * 4), np.column_stack([np.arange(n), np.zeros(n)])):
+            q = interp._apart(points)
+            assert faces(interp._few_triangles(q)) == faces(interp._inserted_triangles(q))
+
+
 def test_delaunay_covers_the_hull():
     rng = np.random.default_rng(3)
     for n in (3, 10, 120):
