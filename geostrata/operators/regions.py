@@ -152,6 +152,7 @@ def _void_tiles(data: DataFrame, frame: DataFrame, tile: int, wanted: DataFrame
     keys = ["band", "tile_row", "tile_col"]
     if wanted is not None:
         tiles = tiles.join(wanted, keys)
+    tiles = tiles.select(*[F.col(c).alias(c) for c in tiles.columns])  # the frame may come from the raster: its columns are told apart
     shared = lambda c: F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col(c) - 1) / tile)).cast("int"), F.floor(F.col(c) / tile).cast("int")))
     held = data.select("band", "row", "col").withColumn("tile_row", shared("row")).withColumn("tile_col", shared("col"))
     names = ["kind", *keys, "name", "row", "col", "max_row", "max_col"]

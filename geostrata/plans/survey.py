@@ -6,6 +6,7 @@ import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.near import expand, near
 from ..operators.spikes import LIMIT, SPIKE_RUN, STUCK_RUN, judge
@@ -20,6 +21,15 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return expand(pairs, members)
 
 
+def p4_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """The pairs of p4_found between representatives, and (member, representative, point) of each other point at a hot place: no copies are expanded."""
+    points = table(spark, folder, "pc_memgrid").select("point_id", "x", "y")
+    pairs, members = near(points, "point_id", "x", "y", NEAR_RADIUS2, table(spark, folder, "survey_zone").select("zone_id", "wkt"))
+    if members is None:
+        return pairs
+    return pairs.unionByName(members.where("id <> _rep").select(F.lit("member").alias("kind"), F.col("_rep").alias("id_a"), F.col("id").alias("id_b")))
+
+
 #: The least and the largest value that each sensor can mean.
 Z_LIMITS = {"z": (-500.0, 9000.0)}
 FLIGHT_LIMITS = {"altitude": (-500.0, 12000.0), "roll": (-math.pi / 2, math.pi / 2), "pitch": (-math.pi / 2, math.pi / 2)}
@@ -37,7 +47,7 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_readings, p4_found)}
+    return {f.__name__: f for f in (p3_found, p3_readings, p4_found, p4_classes)}
 
 
 _NEAR_SQL = f"""with pts as (select distinct point_id, x, y from pc_memgrid where x is not null and y is not null and not isnan(x) and not isnan(y)),
@@ -87,4 +97,4 @@ normal as (select field, src, min(change) as normal from b where most <= change
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": _spike_sql(), "p3_readings": _spike_sql(True), "p4_found": _NEAR_SQL}
+    return {"p3_found": _spike_sql(), "p3_readings": _spike_sql(True), "p4_found": _NEAR_SQL, "p4_classes": _NEAR_SQL}

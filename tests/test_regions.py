@@ -98,8 +98,10 @@ def test_large_holes_against_brute_force(spark, tile):
     grid[19:71, [14, 85]] = 1.0
     grid[[19, 70], 14:86] = 2.0
     cells = [(1, int(r), int(c), float(grid[r, c])) for r, c in zip(*np.nonzero(~np.isnan(grid)), strict=True)]
-    frame_ = spark.createDataFrame([(1, 0, 89, 0, 99)], "band int, min_row int, max_row int, min_col int, max_col int")
-    got = {(r["row"], r["col"]): r["value"] for r in regions.void_fill(spark.createDataFrame(cells, SCHEMA), frame_, 2.0, tile).collect()}
+    held = spark.createDataFrame(cells, SCHEMA)
+    frame_ = held.groupBy("band").agg(F.min("row").alias("min_row"), F.max("row").alias("max_row"), F.min("col").alias("min_col"), F.max("col").alias("max_col"))
+    assert tuple(frame_.first()) == (1, 0, 89, 0, 99)
+    got = {(r["row"], r["col"]): r["value"] for r in regions.void_fill(held, frame_, 2.0, tile).collect()}
     label = brute(np.isnan(grid).tolist(), False)
     holes = {}
     for (r, c), region in label.items():
