@@ -14,8 +14,10 @@ A batch of texts is encoded by its distinct pieces: each is encoded once, and th
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
+import unicodedata
 from array import array
 from collections.abc import Callable, Iterator, Sequence
 from itertools import chain
@@ -39,17 +41,25 @@ KEPT_PIECES, KEPT_PAIRS, LONGEST_KEPT = 300_000, 400_000, 64
 DETERMINED, KEPT_STATES = 3, 60_000
 
 
+def _byte_letters() -> dict[str, int]:
+    """The byte that each letter of a byte-level vocabulary stands for: printable ones for themselves, the others, in order, for the letters from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
 def read_ranks(blob: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(number) for token, number in (line.split() for line in blob.splitlines() if line)}
 
 
 def vocabulary(name: str, folder: str = TOKENIZERS) -> bytes:
-    """The content of the vocabulary file, of fixed size, as it goes to the workers."""
-    path = os.path.join(folder, f"{name}.tiktoken")
-    if not os.path.exists(path):
-        raise ValueError(f"no byte-level vocabulary {name!r} in {folder}")
-    with open(path, "rb") as file:
-        return file.read()
+    """The content of the vocabulary file, of fixed size, as it goes to the workers: ranks, a vocabulary in JSON, or a model of pieces."""
+    for ending in ("tiktoken", "json", "model"):
+        path = os.path.join(folder, f"{name}.{ending}")
+        if os.path.exists(path):
+            with open(path, "rb") as file:
+                return ending.encode() + b":" + file.read()
+    raise ValueError(f"no vocabulary {name!r} in {folder}")
 
 
 class _Pieces(dict):
@@ -68,12 +78,14 @@ class _Pieces(dict):
 class Encoder:
     """Encoder of a vocabulary of byte strings whose ids are the ranks of their merges.
 
-    A way is (tokens that are not emitted yet, node of the trie, last token before the node).
+    Other kinds of vocabularies have other symbols than bytes, the numbers of their tokens still in the order of the
+    merges, and ids by number. A way is (tokens that are not emitted yet, node of the trie, last token before the node).
     """
 
     def __init__(self, ranks: dict[bytes, int], pieces: str = PIECES):
         self.ranks = ranks
-        self.bytes_of = {number: token for token, number in ranks.items()}
+        self.symbols_of = {number: token for token, number in ranks.items()}
+        self.bytes_of = self.symbols_of
         self.split = regex.compile(pieces).findall
         self.split_ascii = re.compile(_ASCII).findall if pieces == PIECES else self.split
         self.children: list[dict[int, int]] = [{}]
@@ -104,10 +116,21 @@ class Encoder:
         self.flat, self.begins = array("i"), array("q", [0])
 
     def _learn(self, piece: str) -> int:
-        self.flat.extend(self.encode_piece(piece.encode()))
+        self.flat.extend(self.ids_of(piece))
         self.begins.append(len(self.flat))
         return len(self.begins) - 2
 
+    def ids_of(self, piece: str) -> list[int]:
+        return self.encode_piece(piece.encode())
+
+    def prepared(self, text: str) -> str:
+        """The text as it falls into pieces."""
+        return text
+
+    def joint(self, left: int, right: int) -> int | None:
+        """The token that two tokens are merged into."""
+        return self.ranks.get(self.symbols_of[left] + self.symbols_of[right])
+
     def merge(self, data: bytes, below: int = 1 << 60) -> list[bytes]:
         """Parts of data by the definition, with merges of a rank under below: the pair of least rank is merged first. For short inputs."""
         parts = [data[i : i + 1] for i in range(len(data))]
@@ -121,7 +144,7 @@ class Encoder:
     def halves(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one; None for a single byte, and (-1, -1) for one that no merge makes."""
         if token not in self.parts:
-            data = self.bytes_of[token]
+            data = self.symbols_of[token]
             parts = self.merge(data, token)
             self.parts[token] = None if len(data) == 1 else (self.ranks[parts[0]], self.ranks[parts[1]]) if len(parts) == 2 else (-1, -1)
         return self.parts[token]
@@ -139,10 +162,9 @@ class Encoder:
 
     def _stay_apart(self, left: int, right: int) -> bool:
         """Both tokens are taken apart again, the later merge first. What lies on the two sides of the boundary at a time must not be a pair that is merged before one of them is merged with its other neighbour."""
-        bytes_of, ranks = self.bytes_of, self.ranks
         left_ends = right_ends = 1 << 60
         while True:
-            joint = ranks.get(bytes_of[left] + bytes_of[right])
+            joint = self.joint(left, right)
             # of two merges of one rank the one further left comes first
             if joint is not None and joint < left_ends and joint <= right_ends:
                 return False
@@ -213,7 +235,8 @@ class Encoder:
         if len(self.begins) > KEPT_PIECES:
             self._forget_pieces()
         look = self.pieces.__getitem__
-        numbers = [list(map(look, (self.split_ascii if text.isascii() else self.split)(text))) if text else [] for text in texts]
+        prepared = [self.prepared(text) if text else "" for text in texts]
+        numbers = [list(map(look, (self.split_ascii if text.isascii() else self.split)(text))) for text in prepared]
         of_text = np.cumsum([0, *map(len, numbers)])
         piece = np.fromiter(chain.from_iterable(numbers), np.int64, int(of_text[-1]))
         begins = np.frombuffer(self.begins, np.int64)
@@ -225,6 +248,90 @@ class Encoder:
         return ends[of_text], np.frombuffer(self.flat, np.int32)[at] if len(at) else np.zeros(0, np.int32)
 
 
+class WordEncoder(Encoder):
+    """Encoder of a vocabulary of words: text is composed and in lower case, white space is dropped, and the last byte of a word is a symbol of its own. Tokens are merged by listed pairs."""
+
+    WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+
+    def __init__(self, blob: bytes):
+        model = json.loads(blob)["model"]
+        letters, end = _byte_letters(), model["end_of_word_suffix"]
+
+        def symbols(token: str) -> tuple[int, ...]:
+            held = [letters[c] for c in token.removesuffix(end)]
+            return (*held[:-1], held[-1] + 256) if token.endswith(end) and held else tuple(held)
+
+        vocabulary_ = model["vocab"]
+        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        # numbers: single symbols first, then the tokens in the order of their merges
+        made = dict.fromkeys(a + b for a, b in merges)
+        order = [t for t in vocabulary_ if t not in made and len(t.removesuffix(end)) == 1] + list(made)
+        number = {t: i for i, t in enumerate(order)}
+        self.pairs = {}
+        for a, b in merges:
+            self.pairs.setdefault((number[a], number[b]), number[a + b])
+        super().__init__({symbols(t): i for t, i in number.items()}, self.WORDS)
+        self.out = [vocabulary_[t] for t in order]
+        space = lambda t: bytes(x & 255 for x in t) + (b" " if t[-1] > 255 else b"")
+        self.bytes_of = {self.out[i]: space(t) for i, t in self.symbols_of.items()}
+
+    def joint(self, left: int, right: int) -> int | None:
+        return self.pairs.get((left, right))
+
+    def merge(self, data: tuple[int, ...], below: int = 1 << 60) -> list[tuple[int, ...]]:
+        parts = [self.ranks[(x,)] for x in data]
+        while len(parts) > 1:
+            rank, at = min((self.pairs.get((parts[i], parts[i + 1]), 1 << 60), i) for i in range(len(parts) - 1))
+            if rank >= below:
+                break
+            parts[at : at + 2] = [rank]
+        return [self.symbols_of[p] for p in parts]
+
+    def prepared(self, text: str) -> str:
+        composed = unicodedata.normalize("NFC", text)
+        return "".join(c.lower() for c in composed) if "\u03a3" in composed else composed.lower()  # the letter at a word's end is lowered like any other
+
+    def ids_of(self, piece: str) -> list[int]:
+        data = piece.encode()
+        return [self.out[t] for t in self.encode_piece((*data[:-1], data[-1] + 256))]
+
+
+class PieceEncoder(Encoder):
+    """Encoder of a model of pieces: the symbols are characters, a mark stands for a space, the piece of the best score is merged first, and a character without a piece gives the ids of its bytes."""
+
+    MARK = "\u2581"
+
+    def __init__(self, blob: bytes):
+        import sentencepiece
+
+        self.model = sentencepiece.SentencePieceProcessor(model_proto=blob)
+        ids = range(self.model.get_piece_size())
+        plain = [i for i in ids if not (self.model.is_byte(i) or self.model.is_control(i) or self.model.is_unknown(i) or self.model.is_unused(i))]
+        self.out = sorted(plain, key=lambda i: (-self.model.get_score(i), i))
+        pieces = [self.model.id_to_piece(i) for i in self.out]
+        self.whole = any(re.search(f"[^{self.MARK}]{self.MARK}", p) for p in pieces)
+        self.byte_ids = {int(self.model.id_to_piece(i)[3:5], 16): i for i in ids if self.model.is_byte(i)}
+        # without a piece that goes on over a space a text falls apart before each run of spaces
+        super().__init__({p: k for k, p in enumerate(pieces)}, "(?s).+" if self.whole else f"{self.MARK}*[^{self.MARK}]+|{self.MARK}+")
+        self.bytes_of = {self.out[k]: p.replace(self.MARK, " ").encode() for k, p in self.symbols_of.items()} | {i: bytes([b]) for b, i in self.byte_ids.items()}
+
+    def prepared(self, text: str) -> str:
+        return self.model.normalize(text)
+
+    def ids_of(self, piece: str) -> list[int]:
+        out: list[int] = []
+        known: list[str] = []
+        for c in [*piece, ""]:
+            if c in self.ranks:
+                known.append(c)
+                continue
+            if known:
+                out += [self.out[t] for t in self.encode_piece("".join(known))]
+                known.clear()
+            out += [self.byte_ids.get(b, self.model.unk_id()) for b in c.encode()]
+        return out
+
+
 class Utf8Machine:
     """Code points out of bytes that come in any portions. Bytes that are no UTF-8 give U+FFFD once for each ill-formed part."""
 
@@ -272,7 +379,8 @@ def encoder_of(blob: bytes) -> Encoder:
     key = hash(blob)
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = Encoder(read_ranks(blob))
+        kind, _, content = blob.partition(b":")
+        _encoders[key] = {b"tiktoken": lambda: Encoder(read_ranks(content)), b"json": lambda: WordEncoder(content), b"model": lambda: PieceEncoder(content)}[kind]()
     return _encoders[key]
 
 
@@ -309,7 +417,7 @@ def count_tokens(documents: DataFrame, key: str, text: str, tokenizer: str = "by
 
 
 def decode(encoded: DataFrame, key: str, ids: str = "ids", tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
-    """(key, text): the text of each list of ids; an empty text for an empty or a null list. An id that the vocabulary lacks, or a null in the list, gives U+FFFD."""
+    """(key, text): the text of each list of ids; an empty text for an empty or a null list. An id that the vocabulary lacks, or a null in the list, gives U+FFFD. A vocabulary of words gives a space after each word, a model of pieces the space before the text that it begins with."""
     blob = encoded.sparkSession.sparkContext.broadcast(vocabulary(tokenizer, folder))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -76,6 +76,13 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode(table(spark, folder, "documents"), "doc_id", "text", TOKENIZER)
 
 
+def p6_lengths(spark: SparkSession, folder: str) -> DataFrame:
+    """The number of ids of every post by each kind of tokenizer: bytes, words and pieces."""
+    posts = table(spark, folder, "documents").select("doc_id", "text")
+    counts = [bpe.count_tokens(posts, "doc_id", "text", name).withColumn("tokenizer", F.lit(name)) for name in ("byte_bpe_50k", "word_bpe_49k", "piece_bpe_32k")]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
 def p6_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     """Whether decoding each post's ids gives its text again."""
     posts = table(spark, folder, "documents").select("doc_id", "text")
@@ -104,7 +111,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_percentiles, p5_found, p5_neighbours, p6_ids, p6_roundtrip, p7_bins, p7_fill, p8_found, p8_levels)}
+    return {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_percentiles, p5_found, p5_neighbours, p6_ids, p6_lengths, p6_roundtrip, p7_bins, p7_fill, p8_found, p8_levels)}
 
 
 _PLACES = """pts as (select distinct point_id, x, y, z from pc_memgrid where x is not null and y is not null and z is not null and not isnan(x) and not isnan(y) and not isnan(z))"""

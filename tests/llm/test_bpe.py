@@ -13,7 +13,7 @@ pytest.importorskip("public_tokenizers")
 
 @pytest.fixture(scope="module")
 def encoder():
-    return bpe.Encoder(bpe.read_ranks(bpe.vocabulary("byte_bpe_50k")))
+    return bpe.encoder_of(bpe.vocabulary("byte_bpe_50k"))
 
 
 @pytest.fixture(scope="module")
@@ -97,3 +97,32 @@ def test_tokens_that_stay_apart_are_those_that_merging_leaves(encoder):
         whole = all(encoder.merge(encoder.bytes_of[t]) == [encoder.bytes_of[t]] for t in (left, right))
         if whole:
             assert encoder._stay_apart(left, right) == (encoder.merge(data) == [encoder.bytes_of[left], encoder.bytes_of[right]])
+
+
+def odd_texts(n):
+    rng = random.Random(11)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGH0123456789  \n\t'\"éß漢字кир😀\x1c\x85\xa0½ΑΣσİ\u2581"
+    return ["".join(rng.choice(letters) for _ in range(rng.randint(1, 40))) for _ in range(n)] + ["<|endoftext|> <s>", " ", "  a  ", "x" * 500, "naïve " * 200]
+
+
+def test_words_equal_the_library():
+    library = tokenizers.Tokenizer.from_file("/opt/tokenizers/word_bpe_49k.json")
+    library.encode_special_tokens = True
+    ours = bpe.encoder_of(bpe.vocabulary("word_bpe_49k"))
+    assert all(ours.encode(t) == library.encode(t, add_special_tokens=False).ids for t in odd_texts(800))
+    assert ours.encode("") == ours.encode(None) == []
+
+
+def test_pieces_equal_the_library():
+    sentencepiece = pytest.importorskip("sentencepiece")
+    library = sentencepiece.SentencePieceProcessor(model_file="/opt/tokenizers/piece_bpe_32k.model")
+    ours = bpe.encoder_of(bpe.vocabulary("piece_bpe_32k"))
+    assert all(ours.encode(t) == library.encode(t) for t in odd_texts(800))
+    assert ours.encode("") == ours.encode(None) == []
+    back = b"".join(ours.bytes_of[i] for i in ours.encode("Ein Satz, 漢字 und 😀."))
+    assert back.decode() == " Ein Satz, 漢字 und 😀."
+
+
+def test_unknown_vocabulary():
+    with pytest.raises(ValueError):
+        bpe.vocabulary("no_such_tokenizer")
