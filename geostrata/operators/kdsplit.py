@@ -210,6 +210,17 @@ def route(points: DataFrame, key: str, columns: list[str], splits: KdSplits, rea
     return points.select(F.col(key).cast("long").alias(key), *[F.col(c).cast("double").alias(c) for c in columns]).mapInArrow(send, schema)
 
 
+def leaf_stats(points: DataFrame, key: str, columns: list[str], leaf_rows: int = LEAF_ROWS) -> DataFrame:
+    """(leaf, depth, rows, low, high): the leaves that splits of points have, their level, rows and boxes. Points without all coordinates take no part; a key delivered again counts again."""
+    names = [f"v{i}" for i in range(len(columns))]
+    held = points.select(F.col(key).cast("long").alias("id"), *[F.col(c).cast("double").alias(n) for c, n in zip(columns, names, strict=True)])
+    held = held.where(F.col("id").isNotNull() & present(*[F.col(n) for n in names]))
+    rows, sample = bounded_sample(held, "id", names)
+    splits = fit_splits(sample, rows, leaf_rows, held, "id", names)
+    routed = route(held, "id", names, splits, 0.0).where("own")
+    return routed.groupBy("leaf").agg(F.lit(splits.depth).alias("depth"), F.count(F.lit(1)).alias("rows"), F.array(*[F.min(n) for n in names]).alias("low"), F.array(*[F.max(n) for n in names]).alias("high"))
+
+
 def build_tree(points: np.ndarray, bucket: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
     """Order of the points by leaf, boxes by level, and the leaves' bounds in that order. The tree is complete and balanced."""
     n, dims = points.shape

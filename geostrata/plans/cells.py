@@ -72,8 +72,8 @@ def _place(p: float) -> str:
 
 @query(f"""{WITH}, g as (select "row", col, list_sort(list(z)) as v from cells group by 1, 2) select "row", col, {_place(0)} as p0, {_place(0.25)} as q1, {_place(0.9)} as d9, {_place(0.85)} as p85, {_place(1)} as p100 from g""")
 def grid_percentiles(spark: SparkSession, folder: str) -> DataFrame:
-    z = F.col("z")
-    return _cells(spark, folder).groupBy("row", "col").agg(A.percentile(z, 0).alias("p0"), A.quartile(z, 1).alias("q1"), A.decile(z, 9).alias("d9"), A.percentile(z, 0.85).alias("p85"), A.percentile(z, 1).alias("p100"))
+    """By ranks of a sort, so a cell may hold any number of points."""
+    return gridding.ranked_percentiles(_cells(spark, folder), ["row", "col"], "z", {"p0": 0.0, "q1": 0.25, "d9": 0.9, "p85": 0.85, "p100": 1.0})
 
 
 #: Cell middles that can be within a radius below the resolution, from the middles around each point's cell.

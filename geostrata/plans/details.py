@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..model import Box, GridSpec
-from ..operators import filters, gridding, interp, joins, kmeans, raster, regions, surface
+from ..operators import filters, gridding, interp, joins, kdsplit, kmeans, raster, regions, surface
 from ..session import table
 from ..sources import records, vectors
 from ..streaming import finalise
@@ -302,3 +302,10 @@ def box_near(spark: SparkSession, folder: str) -> DataFrame:
     box = box_of(held)
     quarter = Box((box.minx + box.maxx) / 2, box.miny, box.maxx, (box.miny + box.maxy) / 2)
     return held.select("point_id", quarter.near(F.col("x"), F.col("y"), 10.0).alias("near"))
+
+
+@query(f"""with {POINTS}, n as (select count(*) as n from pts) select cast(greatest(0, ceil(log2(n / 50000.0))) as integer) as depth, cast(power(2, greatest(0, ceil(log2(n / 50000.0)))) as bigint) as leaves, n as "rows" from n""")
+def tree_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """Depth, leaves and rows of the splits of the points."""
+    found = kdsplit.leaf_stats(points(spark, folder), "point_id", ["x", "y", "z"])
+    return found.agg(F.max("depth").alias("depth"), F.count(F.lit(1)).alias("leaves"), F.sum("rows").alias("rows"))
