@@ -73,12 +73,21 @@ def source_csv(spark: SparkSession, folder: str) -> DataFrame:
     return records.read_csv(spark, out).select(F.col("probe_id").cast("long"), "x", "y", "z")
 
 
-@query("select count(*) filter (where wkt is not null and wkt <> '' and not regexp_matches(upper(wkt), 'EMPTY')) as shapes, count(*) as records from survey_zone")
+_CORNER = r"(-?[0-9.]+)\s+(-?[0-9.]+)"
+
+
+@query(f"""with c as (select zone_id, list_transform(regexp_extract_all(wkt, '{_CORNER}', 1), lambda v: cast(v as double)) as x, list_transform(regexp_extract_all(wkt, '{_CORNER}', 2), lambda v: cast(v as double)) as y from survey_zone where wkt is not null)
+  select len(x) as corners, {", ".join(f"{steady_sql(f'list_{f}({v})')} as {f}_{v}" for v in "xy" for f in ("min", "max"))}, {steady_sql("list_sum(list_transform(x, lambda v: v - 400000)) / len(x)")} as mean_x, {steady_sql("list_sum(list_transform(y, lambda v: v - 6000000)) / len(y)")} as mean_y from c where len(x) > 0
+  union all select 0, null, null, null, null, null, null from survey_zone where wkt is null or not regexp_matches(wkt, '{_CORNER}')""")
 def source_shapefile(spark: SparkSession, folder: str) -> DataFrame:
-    """The zones, written as shapefiles and read again; a zone without a shape is a null shape."""
+    """The zones, written as shapefiles and read again: corners, box and mean corner of each; a zone without a shape is a null shape."""
     out = _folder(spark, "shp")
     vectors.write_shp(table(spark, folder, "survey_zone"), out).write.format("noop").mode("overwrite").save()
-    return vectors.read_shp(spark, out).agg(F.count("wkt").alias("shapes"), F.count(F.lit(1)).alias("records"))
+    at = lambda k: F.transform(F.regexp_extract_all("wkt", F.lit(_CORNER), F.lit(k)), lambda v: v.cast("double"))
+    held = vectors.read_shp(spark, out).select(at(1).alias("x"), at(2).alias("y"))
+    mean = lambda c, origin: F.aggregate(c, F.lit(0.0), lambda s, v: s + (v - origin)) / F.size(c)
+    kept = held.select(F.coalesce(F.size("x"), F.lit(0)).cast("long").alias("corners"), *[steady(f(v)).alias(f"{n}_{v}") for v in "xy" for n, f in (("min", F.array_min), ("max", F.array_max))], steady(mean("x", 400000.0)).alias("mean_x"), steady(mean("y", 6000000.0)).alias("mean_y"))
+    return kept.withColumn("corners", F.when(F.col("corners") > 0, F.col("corners")).otherwise(0))
 
 
 @query(f"""{WITH}, {_HEIGHTS}, t as (select "row", col, h, row_number() over (partition by "row", col order by h, point_id)::double as r, count(*) over (partition by "row", col)::double as n from h where h >= {THRESHOLD}),
@@ -96,3 +105,10 @@ def raster_tiles(spark: SparkSession, folder: str) -> DataFrame:
     held = raster.tiles(low(spark, folder), 16, 2).where("own")
     return held.groupBy("band", "tile_row", "tile_col").agg(F.count(F.lit(1)).alias("own"), F.max("value").alias("top"))
 
+
+
+@query(f"""with {POINTS}, {GRID}, {LOW}, t as (select band, "row", col, value, tr, tc from (select *, unnest(range(cast(floor(("row" - 2) / 16.0) as integer), cast(floor(("row" + 2) / 16.0) as integer) + 1)) as tr from low), unnest(range(cast(floor((col - 2) / 16.0) as integer), cast(floor((col + 2) / 16.0) as integer) + 1)) u(tc) where tr >= 0 and tc >= 0)
+  select band, cast(tr as integer) as tile_row, cast(tc as integer) as tile_col, count(*) filter (where "row" // 16 <> tr or col // 16 <> tc) as halo, max(value) as top from t group by 1, 2, 3""")
+def raster_halo(spark: SparkSession, folder: str) -> DataFrame:
+    """Tiles of 16 cells with a halo of 2: the cells of each that are halo, and the greatest value of all."""
+    return raster.tiles(low(spark, folder), 16, 2).groupBy("band", "tile_row", "tile_col").agg(F.count_if(~F.col("own")).alias("halo"), F.max("value").alias("top"))

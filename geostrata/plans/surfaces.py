@@ -357,13 +357,16 @@ def cloud_match(spark: SparkSession, folder: str) -> DataFrame:
     return surface.match_clouds(held.where("file_id % 2 = 0"), held.where("file_id % 2 = 1"), header(spark, folder), 1.0)
 
 
-@query()
+@query(f"""{WITH}, m as (select "row", col, arg_min(value, band) as value from low group by "row", col), g as (select cast(trunc((y - tly) / res_y) as integer) as r, cast(trunc((x - tlx) / res_x) as integer) as c, min(z) as v from pts, grid group by 1, 2),
+  p as (select m.*, ((col + 0.5) * {FINE}) / res_x - 0.5 as u, ((m."row" + 0.5) * -{FINE}) / res_y - 0.5 as w from m, grid),
+  q as (select "row", col, value, cast(floor(u) as integer) + i as cc, cast(floor(w) as integer) + j as rr, (case when i = 1 then u - floor(u) else 1 - (u - floor(u)) end) * (case when j = 1 then w - floor(w) else 1 - (w - floor(w)) end) as k from p, unnest([0, 1]) a(i), unnest([0, 1]) b(j))
+  select 1 as band, "row", col, {steady_sql("case when count(v) = 4 then value - sum(k * v) end")} as value from q left join g on rr = g.r and cc = g.c group by "row", col, value""")
 def datum_shift(spark: SparkSession, folder: str) -> DataFrame:
     """The mosaic less a coarse surface of lowest points."""
     spec, coarse = fine(header(spark, folder)), header(spark, folder)
     held = points(spark, folder)
     shift = held.groupBy(coarse.row(F.col("y")).alias("row"), coarse.col(F.col("x")).alias("col")).agg(F.min("z").alias("value"))
-    return surface.shift_datum(raster_mosaic(spark, folder), spec, shift, coarse)
+    return surface.shift_datum(raster_mosaic(spark, folder), spec, shift, coarse).withColumn("value", steady(F.col("value")))
 
 
 @query(f"""with {POINTS} select point_id, cast(floor((x - 400000) / 250) as bigint) + i as tile_col, cast(floor((y - 5999000) / 250) as bigint) + j as tile_row, i = 0 and j = 0 as own from pts, unnest([-1, 0, 1]) a(i), unnest([-1, 0, 1]) b(j)
