@@ -35,8 +35,8 @@ PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 TOKENIZERS = os.environ.get("GEOSTRATA_TOKENIZERS", "/opt/tokenizers")
 #: The same for texts of ASCII alone, which is quicker.
 _ASCII = r"""'(?:s|t|re|ve|m|ll|d)| ?[A-Za-z]+| ?[0-9]+| ?[^ \t\n\r\f\vA-Za-z0-9]+|[ \t\n\r\f\v]+(?![^ \t\n\r\f\v])|[ \t\n\r\f\v]+"""
-#: Pieces and pairs of tokens that a worker keeps before it starts anew; a longer piece is not kept.
-KEPT_PIECES, KEPT_PAIRS, LONGEST_KEPT = 300_000, 400_000, 64
+#: Pieces, their ids, and pairs of tokens that a worker keeps before it starts anew; a longer piece is not kept.
+KEPT_PIECES, KEPT_IDS, KEPT_PAIRS, LONGEST_KEPT = 300_000, 5_000_000, 400_000, 64
 #: Bytes from the beginning of a piece for which states are kept, and how many of them.
 DETERMINED, KEPT_STATES = 3, 60_000
 
@@ -232,7 +232,7 @@ class Encoder:
 
     def encode_batch(self, texts: Sequence[str | None], counts_only: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """The ends of the texts' ids, with a 0 before them, and the ids; none of them with counts_only."""
-        if len(self.begins) > KEPT_PIECES:
+        if len(self.begins) > KEPT_PIECES or len(self.flat) > KEPT_IDS:
             self._forget_pieces()
         look = self.pieces.__getitem__
         prepared = [self.prepared(text) if text else "" for text in texts]

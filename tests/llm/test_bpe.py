@@ -126,3 +126,13 @@ def test_pieces_equal_the_library():
 def test_unknown_vocabulary():
     with pytest.raises(ValueError):
         bpe.vocabulary("no_such_tokenizer")
+
+
+def test_what_is_kept_is_bounded(encoder, monkeypatch):
+    monkeypatch.setattr(bpe, "KEPT_IDS", 500)
+    monkeypatch.setattr(bpe, "KEPT_PIECES", 40)
+    want = [encoder.merge(b"q" * n) for n in (3, 70)]
+    for _ in range(30):
+        ends, ids = encoder.encode_batch(["q" * 3, "q" * 70, f"w{random.random()}" * 9])
+        assert [encoder.bytes_of[i] for i in ids[: ends[2]].tolist()] == want[0] + want[1]
+        assert len(encoder.flat) < 5000 and len(encoder.begins) < 500
