@@ -313,7 +313,8 @@ def _inserted_triangles(q: np.ndarray) -> np.ndarray:
         bad = np.where(outer, u[:, 0] * v[:, 1] - u[:, 1] * v[:, 0], inside) > 0
         gone = triangles[bad]
         edges = np.vstack([gone[:, [0, 1]], gone[:, [1, 2]], gone[:, [2, 0]]])
-        rim = edges[~np.isin(edges[:, 0] * (n + 1) + edges[:, 1], edges[:, 1] * (n + 1) + edges[:, 0])]
+        code, back = edges[:, 0] * (n + 1) + edges[:, 1], edges[:, 1] * (n + 1) + edges[:, 0]
+        rim = edges[~(code[:, None] == back[None, :]).any(1)]  # a point takes few triangles away
         new = np.column_stack([rim, np.full(len(rim), i)])
         new[rim[:, 0] == n] = new[rim[:, 0] == n][:, [1, 2, 0]]
         new[rim[:, 1] == n] = new[rim[:, 1] == n][:, [2, 0, 1]]
