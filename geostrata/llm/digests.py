@@ -172,14 +172,13 @@ def merge_digests(digests: DataFrame, by: list[str], compression: float = COMPRE
     spark = digests.sparkSession
     held = digests.select(*by, "count", *_ARRAYS)
     schema = ", ".join(f"{b} {kinds[b]}" for b in by)
-    # digests are small but take work to merge, so the number of tasks is not left to their size
-    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     if by and int(spark.conf.get("spark.sql.shuffle.partitions")) > FAN:
         # a hot group has a digest from each of many partitions: they are merged in FAN parts first
         fanned = held.withColumn("_fan", F.pmod(F.spark_partition_id(), F.lit(FAN)))
-        held = fanned.repartition(tasks, *by, "_fan").groupBy(*by, "_fan").applyInArrow(one, f"{schema}, {_DIGEST}")
-    if by:
-        held = held.repartition(tasks, *by)
+        held = fanned.groupBy(*by, "_fan").applyInArrow(one, f"{schema}, {_DIGEST}")
+    if "part" in by:
+        # digests of parts are small and many, so the number of tasks that merge them is not left to their size
+        held = held.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *by)
     return held.groupBy(*by).applyInArrow(one, f"{schema}, {_DIGEST}")
 
 
